@@ -150,7 +150,8 @@ def collect_tags(papers: DataFrame, responses: DataFrame, attached: DataFrame) -
                           X.rule_tags(F.col("title"), F.col("abstract"), F.col("journal")))
     rows = (joined.select(F.col("id").alias("paper_id"), F.posexplode(merged).alias("pos", "raw"))
             .select("paper_id", "pos", X.clean_tag(F.col("raw")).alias("tag")).filter(F.length("tag") > 0))
-    return rows.join(attached.select("paper_id", F.col("name").alias("tag")), ["paper_id", "tag"], "left_anti")
+    named = rows.groupBy("paper_id", "tag").agg(F.min("pos").alias("pos"))
+    return named.join(attached.select("paper_id", F.col("name").alias("tag")), ["paper_id", "tag"], "left_anti")
 
 
 # Exports -------------------------------------------------------------------------------------
