@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.plans import library_queries, registry, retrieval_queries, text_queries  # noqa: F401
+from marginalia.plans import registry, retrieval_queries, library_queries, text_queries, job_queries  # noqa: F401  (later ones use earlier tables)
 
 
 def queries():

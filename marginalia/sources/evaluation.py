@@ -54,10 +54,11 @@ def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def load_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(runs, by_type) of a report folder. Broken files are left out; missing fields are NULL.
 
-    ``run_id`` is the file stem; metric keys such as ``recall@5`` are found by pattern.
+    ``run_id`` is the file stem, or the folder of a ``run_id=…`` layout; metric keys such as ``recall@5`` are found by pattern.
     """
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
-           .select("value", F.regexp_replace(F.col("_metadata.file_name"), r"\.json\z", "").alias("run_id")))
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json\z", "")
+    raw = files.select("value", F.col("run_id").cast("string") if "run_id" in files.columns else stem.alias("run_id"))
     parsed = (raw.filter(F.try_parse_json("value").isNotNull() & F.startswith(X.strip(F.col("value")), F.lit("{")))
               .select("run_id", F.from_json("value", REPORT).alias("r"),
                       F.get_json_object("value", "$.overall").alias("overall")))
