@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from marginalia.functions import text as X, vocabulary as V
+from marginalia.functions import scoring as S, text as X, vocabulary as V
 from marginalia.operators.blocks import block_of
 from marginalia.schemas import chunk_id
+from marginalia.session import bounded_rows
+
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
 
 # Chunks of one paper that travel together; a neighbour pair is at most one block apart.
 NEIGHBOR_BLOCK = 256
@@ -53,7 +64,7 @@ def document_frequencies(posting: DataFrame) -> DataFrame:
 def _query_postings(docs: DataFrame, terms: DataFrame, halo: bool) -> DataFrame:
     """Postings of the query vocabulary, placed by block of neighbouring chunks.
 
-    Only tokens some query asks for are shuffled, once. Later groupings and windows all contain
+    Only tokens some query asks for are shuffled, once. Later groupings, joins and windows all contain
     (paper_id, block), so they reuse this placement. With ``halo`` the edge chunks of a block are
     also sent to the adjacent block, which makes the neighbour window complete inside a block.
     """
@@ -74,12 +85,18 @@ def _query_postings(docs: DataFrame, terms: DataFrame, halo: bool) -> DataFrame:
             .withColumn("home", F.col("block") == block_of(F.col("chunk_index"), NEIGHBOR_BLOCK)))
 
 
+CHUNK = ["paper_id", "block", "chunk_index"]
+HITS = "query_id {q}, paper_id BIGINT, chunk_index INT, score DOUBLE"
+# Most (query, term) rows sent to every executor, about 50 bytes each.
+BROADCAST_TERMS = 1_000_000
+
+
 def bm25_scores(chunks: DataFrame, queries: DataFrame, bilingual: dict | None = None,
                 neighbor_weight: float | None = None, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
     """BM25 of every (query, chunk) pair that shares a term: ``query_id, paper_id, chunk_index, score``.
 
     With ``neighbor_weight`` the score also takes that share of the scores of the chunks directly
-    before and after it in the same paper.
+    before and after it in the same paper. The query side may have any size: all joins are by term.
     """
     docs = tokenised(chunks)
     terms = query_term_table(queries, bilingual)
@@ -88,10 +105,9 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, bilingual: dict | None =
     tf = _query_postings(docs, terms, halo=neighbor_weight is not None)
     df = document_frequencies(tf.filter("home"))
     idf = df.select("term", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = terms.join(idf, "term")
     norm = F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / avg_len
-    scored = (tf.join(weighted, "term")
-              .groupBy("paper_id", "block", "chunk_index", "home", "query_id")
+    scored = (tf.join(terms.join(idf, "term"), "term")
+              .groupBy(*CHUNK, "home", "query_id")
               .agg(F.sum(F.col("idf") * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * norm)).alias("score")))
     if neighbor_weight is not None:
         here = W.partitionBy("paper_id", "block", "query_id").orderBy("chunk_index")
@@ -105,15 +121,83 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, bilingual: dict | None =
         "query_id", "paper_id", "chunk_index", "score")
 
 
+def vocabulary_stats(docs: DataFrame, vocabulary) -> tuple[int, float, dict]:
+    """(chunk count, mean length, document frequency per vocabulary position), one pass, no shuffle of
+    the corpus: each task sends its counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(vocabulary.value, pa.string())
+        df, rows, length = np.zeros(len(words), dtype=np.int64), 0, 0
+        for batch in batches:
+            _, term, _ = S.term_counts(batch["tokens"], words)
+            df += np.bincount(term, minlength=len(words))
+            rows += batch.num_rows
+            length += int(np.asarray(batch["doc_len"]).sum())
+        keep = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([keep, [-1, -2]]), pa.int64()), pa.array(np.concatenate([df[keep], [rows, length]]), pa.int64())],
+            names=["term", "n"])
+    total = dict(docs.mapInArrow(count, "term BIGINT, n BIGINT").groupBy("term").agg(F.sum("n").alias("n")).collect())
+    n_docs = total.pop(-1, 0)
+    return n_docs, (total.pop(-2, 0) / n_docs if n_docs else 0.0), total
+
+
 def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20, bilingual: dict | None = None,
-                neighbor_weight: float | None = None) -> DataFrame:
-    """Top ``k`` chunks per query; ``source`` names the profile."""
+                neighbor_weight: float | None = None, k1: float = V.BM25_K1, b: float = V.BM25_B,
+                max_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """Top ``k`` chunks per query, exact; ``source`` names the profile.
+
+    A query table within ``max_terms`` (query, term) rows goes to the executors: one pass counts
+    document frequencies, a second scores each batch of chunks where it lies and emits the batch's best
+    ``k`` per query. The neighbour profile first places chunks by paper block. A larger query table takes
+    the join plan of ``bm25_scores``.
+    """
     source = "keyword-bm25" if neighbor_weight is None else "keyword-bm25-bilingual-neighbor"
-    scored = bm25_scores(chunks, queries, bilingual, neighbor_weight).withColumn("chunk_id", chunk_id())
-    return top_k(scored, k).withColumn("source", F.lit(source)).select(
+    terms = query_term_table(queries, bilingual)
+    if bounded_rows(terms, max_terms) is None:
+        scored = bm25_scores(chunks, queries, bilingual, neighbor_weight, k1, b)
+    else:
+        scored = _bm25_batches(chunks, terms, k, neighbor_weight, k1, b)
+    return top_k(scored.withColumn("chunk_id", chunk_id()), k).withColumn("source", F.lit(source)).select(
         "query_id", "rank", "chunk_id", "paper_id", "chunk_index", "score", "source")
 
 
+def _bm25_batches(chunks: DataFrame, terms: DataFrame, k: int, neighbor_weight: float | None, k1: float,
+                  b: float) -> DataFrame:
+    schema = HITS.format(q=terms.schema["query_id"].dataType.simpleString())
+    rows = [tuple(r) for r in terms.select("query_id", "term").collect()]
+    if not rows:
+        return terms.sparkSession.createDataFrame([], schema)
+    sc = terms.sparkSession.sparkContext
+    docs = tokenised(chunks).select("paper_id", "chunk_index", F.size("tokens").alias("doc_len"), "tokens")
+    words = sc.broadcast(sorted({r[1] for r in rows}))
+    n_docs, avg_len, df = vocabulary_stats(docs, words)
+    if not avg_len:
+        return terms.sparkSession.createDataFrame([], schema)
+    idf = {w: math.log(1.0 + (n_docs - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)) for i, w in enumerate(words.value)}
+    shared = sc.broadcast(S.query_matrix([(q, t, idf[t]) for q, t in rows]))
+
+    def saturate(count, length):
+        return count * (k1 + 1.0) / (count + k1 * (1.0 - b + b * length / avg_len))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = shared.value
+        vocabulary = pa.array(matrix.terms, pa.string())
+        tables = (pa.Table.from_batches([x]) for x in batches) if neighbor_weight is None else S.whole_groups(
+            batches, ["paper_id", "block"])
+        for table in tables:
+            if table.num_rows:
+                yield from S.score_batch(table, matrix, vocabulary, saturate, k, neighbor_weight)
+
+    if neighbor_weight is not None:
+        own = block_of(F.col("chunk_index"), NEIGHBOR_BLOCK)
+        near = [block_of(F.col("chunk_index") + d, NEIGHBOR_BLOCK) for d in (-1, 1)]
+        docs = (docs.withColumn("home_block", own).withColumn("block", F.explode(F.array_distinct(F.array(own, *near))))
+                .withColumn("home", F.col("block") == F.col("home_block")).drop("home_block")
+                .repartition("paper_id", "block").sortWithinPartitions(*CHUNK))
+    return docs.mapInArrow(score, schema)
+
+
 def count_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Occurrence score: for every query token (repeats count) its occurrences as a substring.
 
@@ -148,12 +232,52 @@ def count_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
             .select("query_id", "paper_id", "chunk_index", F.col("score").cast("double").alias("score")))
 
 
-def count_search(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    scored = count_scores(chunks, queries).withColumn("chunk_id", chunk_id())
-    return top_k(scored, k, digits=None).withColumn("source", F.lit("keyword")).select(
+def count_search(chunks: DataFrame, queries: DataFrame, k: int = 20, max_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """Top ``k`` chunks by occurrence score.
+
+    Query tokens within ``max_terms`` rows become one string automaton per worker; every batch of chunks is
+    matched and scored where it lies. A larger query table takes the join plan of ``count_scores``.
+    """
+    tokens = (queries.select("query_id", F.explode(X.white_tokens(F.col("text"))).alias("token"))
+              .groupBy("query_id", F.lower("token").alias("token")).agg(F.count(F.lit(1)).alias("times")))
+    if ahocorasick is None or bounded_rows(tokens, max_terms) is None:
+        scored = count_scores(chunks, queries)
+    else:
+        scored = _count_batches(chunks, tokens, k)
+    return top_k(scored.withColumn("chunk_id", chunk_id()), k, digits=None).withColumn("source", F.lit("keyword")).select(
         "query_id", "rank", "chunk_id", "paper_id", "chunk_index", "score", "source")
 
 
+def _count_batches(chunks: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
+    schema = HITS.format(q=tokens.schema["query_id"].dataType.simpleString())
+    rows = [(r["query_id"], r["token"], float(r["times"])) for r in tokens.collect()]
+    if not rows:
+        return tokens.sparkSession.createDataFrame([], schema)
+    shared = tokens.sparkSession.sparkContext.broadcast(S.query_matrix(rows))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = shared.value
+        automaton = ahocorasick.Automaton()
+        for i, token in enumerate(matrix.terms):
+            automaton.add_word(token, (i, token))
+        automaton.make_automaton()
+        width = len(matrix.query_ids)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            paper, index = np.asarray(batch["paper_id"]), np.asarray(batch["chunk_index"])
+            order = S.id_order(paper, index)
+            row, term, value = S.count_tokens_in_words(batch["tokens"], automaton, len(matrix.terms))
+            for start, stop in S.slices(row, matrix.starts[term + 1] - matrix.starts[term], len(paper)):
+                part = slice(np.searchsorted(row, start), np.searchsorted(row, stop))
+                keys, scores = S.pair_scores(row[part], term[part], value[part], matrix)
+                if len(keys):
+                    yield S.emit(matrix, *S.best_rows(keys, scores, order, width, k), paper, index)
+
+    words = X.white_tokens(F.lower(F.coalesce("content", F.lit(""))))
+    return chunks.select("paper_id", "chunk_index", words.alias("tokens")).mapInArrow(score, schema)
+
+
 def keyword_search(papers: DataFrame, queries: DataFrame, k: int = 20, k1: float = V.BM25_K1,
                    b: float = V.KEYWORD_B) -> DataFrame:
     """Paper search: every query word must occur in title, authors or abstract; BM25 order.
@@ -171,9 +295,14 @@ def keyword_search(papers: DataFrame, queries: DataFrame, k: int = 20, k1: float
           .repartition("paper_id").groupBy("paper_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf")))
     # A word in more than half of the papers keeps a tiny positive weight.
     raw_idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = document_frequencies(tf).select("term", F.when(raw_idf > 0, raw_idf).otherwise(1e-6).alias("idf"))
+    df = document_frequencies(tf).select("term", "df", F.when(raw_idf > 0, raw_idf).otherwise(1e-6).alias("idf"))
+    weighted = terms.join(df, "term")
+    # All words are needed, so only papers with the rarest one are looked at.
+    rarest = weighted.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("n_known"))
+    possible = rarest.join(needed, "query_id").filter(F.col("n_known") == F.col("n_terms")).select("query_id", "term", "n_terms")
+    pairs = tf.select("paper_id", "term").join(possible, "term").select("paper_id", "query_id", "n_terms")
     norm = F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / avg_len
-    matched = (tf.join(terms.join(idf, "term").join(needed, "query_id"), "term")
+    matched = (pairs.join(tf, "paper_id").join(weighted.select("query_id", "term", "idf"), ["query_id", "term"])
                .groupBy("paper_id", "query_id", "n_terms")
                .agg(F.count(F.lit(1)).alias("n_found"),
                     F.sum(F.col("idf") * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * norm)).alias("score"))
