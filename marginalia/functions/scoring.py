@@ -51,7 +51,7 @@ def term_counts(tokens: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray,
 
 
 def pair_scores(row, term, value, matrix: QueryMatrix):
-    """Sum of value x weight per (row, query): sorted keys ``row * n_queries + query`` and scores."""
+    """Sums of value x weight per (row, query): sorted keys ``row * n_queries + query``, scores, terms found."""
     width = len(matrix.query_ids)
     fan = matrix.starts[term + 1] - matrix.starts[term]
     source = np.repeat(np.arange(len(term)), fan)
@@ -59,14 +59,14 @@ def pair_scores(row, term, value, matrix: QueryMatrix):
     keys = row[source] * width + matrix.query[entry]
     products = value[source] * matrix.weight[entry]
     if len(keys) == 0:
-        return keys, products
+        return keys, products, keys
     low, span = keys.min(), keys.max() - keys.min() + 1
     if span <= DENSE:
         sums, hit = np.bincount(keys - low, weights=products, minlength=span), np.bincount(keys - low, minlength=span)
         found = np.flatnonzero(hit)
-        return found + low, sums[found]
+        return found + low, sums[found], hit[found]
     unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(inverse, weights=products)
+    return unique, np.bincount(inverse, weights=products), np.bincount(inverse)
 
 
 def best_rows(keys, scores, order, width: int, k: int, digits: int = 9):
@@ -120,24 +120,28 @@ def emit(matrix: QueryMatrix, row, query, score, paper, index) -> pa.RecordBatch
 
 
 def score_batch(batch: pa.Table, matrix: QueryMatrix, vocabulary: pa.Array, saturate, k: int,
-                boost: float | None = None) -> Iterator[pa.RecordBatch]:
+                boost: float | None = None, needed: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Best rows of one table ``(paper_id, chunk_index, doc_len, tokens[, block, home])``.
 
-    ``saturate(count, doc_len)`` turns a term count into its score factor.
+    ``saturate(count, doc_len)`` turns a term count into its score factor. With ``needed`` a row must hold
+    that many terms of the query, and ties go by paper number.
     """
     tokens = batch["tokens"].combine_chunks()
     tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
     paper, index, length = (np.asarray(batch[c]) for c in ("paper_id", "chunk_index", "doc_len"))
     row, term, count = term_counts(tokens, vocabulary)
     value = saturate(count.astype(np.float64), length[row])
-    width, order = len(matrix.query_ids), id_order(paper, index)
+    width, order = len(matrix.query_ids), id_order(paper, index) if needed is None else paper
     if boost is not None:
         group, home = np.asarray(batch["block"]), np.asarray(batch["home"])
     for start, stop in slices(row, matrix.starts[term + 1] - matrix.starts[term], len(paper)):
         # One neighbour on either side, so that boosted scores are complete inside the range.
         lo, hi = (max(start - 1, 0), min(stop + 1, len(paper))) if boost is not None else (start, stop)
         part = slice(np.searchsorted(row, lo), np.searchsorted(row, hi))
-        keys, scores = pair_scores(row[part], term[part], value[part], matrix)
+        keys, scores, found = pair_scores(row[part], term[part], value[part], matrix)
+        if needed is not None:
+            whole = found == needed[keys % width]
+            keys, scores = keys[whole], scores[whole]
         if len(keys) == 0:
             continue
         if boost is not None:

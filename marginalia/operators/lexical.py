@@ -165,29 +165,37 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20, bilingual: d
 def _bm25_batches(chunks: DataFrame, terms: DataFrame, k: int, neighbor_weight: float | None, k1: float,
                   b: float) -> DataFrame:
     schema = HITS.format(q=terms.schema["query_id"].dataType.simpleString())
+    docs = tokenised(chunks).select("paper_id", "chunk_index", F.size("tokens").alias("doc_len"), "tokens")
+    log_odds = lambda n, df: math.log(1.0 + (n - df + 0.5) / (df + 0.5))
+    return _score_batches(docs, terms, k, k1, b, log_odds, schema, neighbor_weight)
+
+
+def _score_batches(docs: DataFrame, terms: DataFrame, k: int, k1: float, b: float, term_weight, schema: str,
+                   neighbor_weight: float | None = None, all_terms: bool = False) -> DataFrame:
     rows = [tuple(r) for r in terms.select("query_id", "term").collect()]
     if not rows:
         return terms.sparkSession.createDataFrame([], schema)
     sc = terms.sparkSession.sparkContext
-    docs = tokenised(chunks).select("paper_id", "chunk_index", F.size("tokens").alias("doc_len"), "tokens")
     words = sc.broadcast(sorted({r[1] for r in rows}))
     n_docs, avg_len, df = vocabulary_stats(docs, words)
     if not avg_len:
         return terms.sparkSession.createDataFrame([], schema)
-    idf = {w: math.log(1.0 + (n_docs - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)) for i, w in enumerate(words.value)}
-    shared = sc.broadcast(S.query_matrix([(q, t, idf[t]) for q, t in rows]))
+    idf = {w: term_weight(n_docs, df.get(i, 0)) for i, w in enumerate(words.value)}
+    matrix = S.query_matrix([(q, t, idf[t]) for q, t in rows])
+    needed = np.bincount(matrix.query, minlength=len(matrix.query_ids)) if all_terms else None
+    shared = sc.broadcast((matrix, needed))
 
     def saturate(count, length):
         return count * (k1 + 1.0) / (count + k1 * (1.0 - b + b * length / avg_len))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = shared.value
+        matrix, needed = shared.value
         vocabulary = pa.array(matrix.terms, pa.string())
         tables = (pa.Table.from_batches([x]) for x in batches) if neighbor_weight is None else S.whole_groups(
             batches, ["paper_id", "block"])
         for table in tables:
             if table.num_rows:
-                yield from S.score_batch(table, matrix, vocabulary, saturate, k, neighbor_weight)
+                yield from S.score_batch(table, matrix, vocabulary, saturate, k, neighbor_weight, needed)
 
     if neighbor_weight is not None:
         own = block_of(F.col("chunk_index"), NEIGHBOR_BLOCK)
@@ -270,7 +278,7 @@ def _count_batches(chunks: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
             row, term, value = S.count_tokens_in_words(batch["tokens"], automaton, len(matrix.terms))
             for start, stop in S.slices(row, matrix.starts[term + 1] - matrix.starts[term], len(paper)):
                 part = slice(np.searchsorted(row, start), np.searchsorted(row, stop))
-                keys, scores = S.pair_scores(row[part], term[part], value[part], matrix)
+                keys, scores, _ = S.pair_scores(row[part], term[part], value[part], matrix)
                 if len(keys):
                     yield S.emit(matrix, *S.best_rows(keys, scores, order, width, k), paper, index)
 
@@ -278,35 +286,48 @@ def _count_batches(chunks: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
     return chunks.select("paper_id", "chunk_index", words.alias("tokens")).mapInArrow(score, schema)
 
 
-def keyword_search(papers: DataFrame, queries: DataFrame, k: int = 20, k1: float = V.BM25_K1,
-                   b: float = V.KEYWORD_B) -> DataFrame:
-    """Paper search: every query word must occur in title, authors or abstract; BM25 order.
+def keyword_scores(docs: DataFrame, terms: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query, paper) pairs that hold every word of the query, by joins; for query tables of any size.
 
-    Returns paper-level hits with score 0.0, content = abstract or title.
+    Only papers with the rarest word of a query are looked at.
     """
-    terms = queries.select("query_id", F.explode(X.keyword_query(F.col("text"))).alias("term"))
-    needed = queries.select("query_id", F.size(X.keyword_query(F.col("text"))).alias("n_terms"))
-    docs = papers.select(F.col("id").alias("paper_id"), X.words(
-        F.concat_ws(" ", "title", "authors", "abstract")).alias("tokens"))
     stats = corpus_stats(docs)
     n_docs, avg_len = stats.select("n_docs").scalar(), stats.select("avg_len").scalar()
     tf = (docs.select("paper_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
           .join(terms.select("term").distinct(), "term", "left_semi")
           .repartition("paper_id").groupBy("paper_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf")))
-    # A word in more than half of the papers keeps a tiny positive weight.
     raw_idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = document_frequencies(tf).select("term", "df", F.when(raw_idf > 0, raw_idf).otherwise(1e-6).alias("idf"))
-    weighted = terms.join(df, "term")
-    # All words are needed, so only papers with the rarest one are looked at.
-    rarest = weighted.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("n_known"))
-    possible = rarest.join(needed, "query_id").filter(F.col("n_known") == F.col("n_terms")).select("query_id", "term", "n_terms")
-    pairs = tf.select("paper_id", "term").join(possible, "term").select("paper_id", "query_id", "n_terms")
+    known = terms.join(df, "term")
+    needed = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
+    rarest = (known.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("n_known"))
+              .join(needed, "query_id").filter(F.col("n_known") == F.col("n_terms")).select("query_id", "term", "n_terms"))
     norm = F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / avg_len
-    matched = (pairs.join(tf, "paper_id").join(weighted.select("query_id", "term", "idf"), ["query_id", "term"])
-               .groupBy("paper_id", "query_id", "n_terms")
-               .agg(F.count(F.lit(1)).alias("n_found"),
-                    F.sum(F.col("idf") * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * norm)).alias("score"))
-               .filter(F.col("n_found") == F.col("n_terms")))
+    pairs = tf.select("paper_id", "term").join(rarest, "term").select("paper_id", "query_id", "n_terms")
+    return (pairs.join(tf, "paper_id").join(known.select("query_id", "term", "idf"), ["query_id", "term"])
+            .groupBy("paper_id", "query_id", "n_terms")
+            .agg(F.count(F.lit(1)).alias("n_found"),
+                 F.sum(F.col("idf") * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * norm)).alias("score"))
+            .filter(F.col("n_found") == F.col("n_terms")).select("query_id", "paper_id", "score"))
+
+
+def keyword_search(papers: DataFrame, queries: DataFrame, k: int = 20, k1: float = V.BM25_K1,
+                   b: float = V.KEYWORD_B, max_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """Paper search: every query word must occur in title, authors or abstract; BM25 order.
+
+    Returns paper-level hits with score 0.0, content = abstract or title. A word in more than half of the
+    papers keeps a tiny positive weight.
+    """
+    terms = queries.select("query_id", F.explode(X.keyword_query(F.col("text"))).alias("term"))
+    docs = papers.select(F.col("id").alias("paper_id"), X.words(
+        F.concat_ws(" ", "title", "authors", "abstract")).alias("tokens"))
+    if bounded_rows(terms, max_terms) is None:
+        matched = keyword_scores(docs, terms, k1, b)
+    else:
+        rows = docs.select("paper_id", F.lit(0).alias("chunk_index"), F.size("tokens").alias("doc_len"), "tokens")
+        odds = lambda n, df: max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+        matched = _score_batches(rows, terms, k, k1, b, odds, HITS.format(
+            q=terms.schema["query_id"].dataType.simpleString()), all_terms=True)
     window = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("paper_id").asc())
     best = matched.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
     return (best.select("query_id", "rank", "paper_id")
