@@ -108,8 +108,9 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, broadcast_value
             return _best(left["query_id"].tolist(), _unit(left["embedding"]),
                          right["vector_id"].to_numpy(), _unit(right["embedding"]), k)
 
-        parts = (grid(queries, "qb", "vb", nq, nv).groupBy("qb", "vb")
-                 .cogroup(grid(vectors, "vb", "qb", nv, nq).groupBy("qb", "vb"))
+        tasks = min(nq * nv, 8192)
+        parts = (grid(queries, "qb", "vb", nq, nv).repartition(tasks, "qb", "vb").groupBy("qb", "vb")
+                 .cogroup(grid(vectors, "vb", "qb", nv, nq).repartition(tasks, "qb", "vb").groupBy("qb", "vb"))
                  .applyInPandas(cell, schema))
     window = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vector_id").asc())
     return (parts.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
