@@ -11,18 +11,16 @@ from marginalia.schemas import FIXTURE, QA, REPORT, chunk_id
 def load_dataset(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
     """QA items from JSON lines; blank lines are skipped. With ``strict`` a line that is not a JSON object
     raises, naming file and content."""
-    schema = QA + ", _corrupt STRING"
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file")).filter(
         X.non_blank(F.col("value")))
-    parsed = lines.select("_file", "value", F.from_json("value", schema, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    bad = F.col("r._corrupt").isNotNull() | ~F.startswith(F.ltrim("value"), F.lit("{"))
+    parsed = lines.withColumn("_object", F.try_parse_json("value").isNotNull() & F.startswith(X.strip(F.col("value")), F.lit("{")))
+    bad = ~F.col("_object")
     if strict:
         broken = parsed.filter(bad).select("_file", "value").take(1)
         if broken:
             number = _line_number(spark, broken[0]["_file"], broken[0]["value"])
             raise ValueError(f"{broken[0]['_file']} line {number} is not a JSON object")
-    return parsed.filter(~bad).select("r.*").drop("_corrupt")
+    return parsed.filter("_object").select(F.from_json("value", QA).alias("r")).select("r.*")
 
 
 def _line_number(spark: SparkSession, path: str, value: str) -> int | None:
