@@ -25,7 +25,7 @@ def load_dataset(spark: SparkSession, path: str | list[str], strict: bool = True
 
 def _line_number(spark: SparkSession, path: str, value: str) -> int | None:
     """First line of one file that equals ``value``, counted inside the file's single text split."""
-    rows = (spark.read.option("wholetext", True).text(path)
+    rows = (spark.read.text(path, wholetext=True)
             .select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("n", "line"))
             .filter(F.col("line") == value).agg(F.min("n").alias("n")).first())
     return None if rows["n"] is None else rows["n"] + 1
@@ -54,7 +54,7 @@ def load_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     ``run_id`` is the file stem, or the folder of a ``run_id=…`` layout; metric keys such as ``recall@5`` are found by pattern.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json\z", "")
     raw = files.select("value", F.col("run_id").cast("string") if "run_id" in files.columns else stem.alias("run_id"))
     parsed = (raw.filter(F.try_parse_json("value").isNotNull() & F.startswith(X.strip(F.col("value")), F.lit("{")))

@@ -61,7 +61,7 @@ def test_corpus_file(spark, tmp_path):
 
 def test_reports(spark, tmp_path):
     (tmp_path / "20240102_000000.json").write_text(json.dumps({"timestamp": "t", "retrieval_mode": "hybrid", "overall": {
-        "recall@7": 0.5, "mrr": "bad", "n_positive": 3}, "by_question_type": [{"question_type": "factoid", "n": 3, "recall": 0.5}]}))
+        "recall@7": 0.5, "mrr": "bad", "n_positive": 3}, "by_question_type": [{"question_type": "factoid", "n": 3, "recall": 0.5}]}, indent=2))
     (tmp_path / "20240101_000000.json").write_text("{}")
     (tmp_path / "broken.json").write_text('{"overall": ')
     (tmp_path / "list.json").write_text("[1]")
