@@ -272,3 +272,16 @@ def test_listing_clamps(spark):
     assert page.count() == 200 and total.first()["total"] == 300
     assert L.list_papers(papers, limit=0)[0].first()["id"] == 299
     assert L.search_like(papers, "t1_", 99).count() == 50
+
+
+def test_generator_errors_stay_in_band(spark):
+    from marginalia.operators.generate import generate_answers
+    msgs = "ARRAY<STRUCT<role: STRING, content: STRING>>"
+    req = spark.createDataFrame([(1, [("user", "hi")]), (2, [("user", "boom")])], f"query_id BIGINT, messages {msgs}")
+
+    def generator(messages):
+        if messages[-1]["content"] == "boom":
+            raise RuntimeError("x")
+        return messages[-1]["content"].upper()
+    got = {r["query_id"]: r["answer"] for r in generate_answers(req, generator).collect()}
+    assert got == {1: "HI", 2: "[调用 LLM 出错: RuntimeError]"}
