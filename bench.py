@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8). Each query runs
-twice into a sink that discards rows; the better time counts. ``per_call_ms`` divides the retrieval
+into a sink that discards rows; queries under eight seconds run twice and the better time counts. ``per_call_ms`` divides the retrieval
 times by the number of questions answered in the one job; ``pairs_per_sec`` multiplies by the chunks.
 """
 
@@ -38,6 +38,8 @@ def main() -> None:
     for name in names:
         best = None
         for _ in range(2):
+            if best is not None and best > 8:
+                break
             start = time.perf_counter()
             queries[name](spark, sf).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - start
