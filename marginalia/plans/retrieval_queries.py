@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marginalia.functions import metrics as M, text as X, vectors as VX, vocabulary as V
-from marginalia.operators import evaluate as E, fusion, graph, ingest, lexical, retrieve as R, vector
+from marginalia.functions import text as X, vectors as VX, vocabulary as V
+from marginalia.operators import evaluate as E, fusion, ingest, lexical, retrieve as R, vector
 from marginalia.plans import tables as T
 from marginalia.plans.registry import query
 from marginalia.plans.tables import SQL
-from marginalia.schemas import HIT_COLUMNS, chunk_id
+from marginalia.schemas import chunk_id
 
 TOKEN = "'[A-Za-z0-9]+(?:[.\\-][A-Za-z0-9]+)*%?'"
 
@@ -252,11 +252,6 @@ def rrf_paper_fusion(spark, sf):
     return out.select("query_id", "rank", "paper_id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
-SQL["hybrid_lists"] = """
-SELECT k.query_id, 0 AS l, k.rank, v.paper_id FROM (SELECT query_id, rank, paper_id FROM vec_ranked WHERE rank <= 20) v
-JOIN (SELECT DISTINCT query_id, 0 AS rank FROM kw_terms) k USING (query_id)"""
-
-
 @query("hybrid_search", """
 SELECT query_id, CAST(rank AS INTEGER) AS rank, paper_id, 'hybrid' AS source FROM (
   SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, first_seen) AS rank FROM (
@@ -272,9 +267,6 @@ def hybrid_search(spark, sf):
     return out.select("query_id", "rank", "paper_id", "source")
 
 
-del SQL["hybrid_lists"]
-
-
 @query("retrieval_profiles", " UNION ALL ".join(
     f"SELECT '{p}' AS profile, query_id, CAST(rank AS INTEGER) AS rank, chunk_id, 'keyword-only(degraded)' AS mode_used, true AS degraded FROM ("
     f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {src}) WHERE rank <= 5"

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marginalia.functions import answers as A, frontmatter as FM, metrics as MX, text as X, vectors as VX
+from marginalia.functions import answers as A, frontmatter as FM, text as X, vectors as VX
 from marginalia.operators import (blocks, context as C, evaluate as E, graph as G, ingest, library as L, metadata as MD,
-                                  qagen as Q, retrieve as R, thesis as TH, vector)
+                                  qagen as Q, retrieve as R, thesis as TH)
 from marginalia.plans import tables as T
 from marginalia.plans.registry import query
 from marginalia.plans.tables import SQL
-from marginalia.schemas import HIT_COLUMNS, chunk_id
+from marginalia.schemas import chunk_id
 from marginalia.sources.documents import html_text
 
 BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
