@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import counts, decontaminate, language, lines, mixing, sharding, simhash, toxicity, warc
+from marginalia.llm import counts, decontaminate, language, lines, mixing, neighbours, sharding, simhash, toxicity, warc
 from marginalia.llm.shared import training_fold
 from marginalia.session import checkpoint_root, ship_package
 
@@ -59,6 +59,11 @@ def op2_language_filters(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (~training_fold()).alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op3_neighbour_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("query") % 20 == 0)
+
+
 @query()
 def op4_hash_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.assign(table(spark, sf, "documents"), SHARD_BYTES)
