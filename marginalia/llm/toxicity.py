@@ -25,7 +25,10 @@ from marginalia.llm.shared import training_fold
 EXAMPLES = 2000
 TERMS = 4096
 # A term is kept if its document frequencies under the two labels differ by this much (chi-square, one degree of freedom).
-MIN_CHI2 = 30.0
+MIN_CHI2 = 50.0
+# Besides words, their beginnings of these lengths are terms, so that inflected and compounded forms share one.
+BEGINNINGS = (4, 5)
+REPEATS = (2, 3, 5)
 NEIGHBOURS = 16
 BLOCK = 64
 # Similarity of the imagined neighbour that votes with the share of toxic rows.
@@ -40,13 +43,36 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def terms_of(text: str | None, bases: set[str] | dict | None = None) -> dict[str, int]:
+    """The terms of a text with their counts, of the given bases or of all.
+
+    Bases are words and their beginnings, marked by a hyphen. A base that occurs as often as one of REPEATS is a
+    further term: what is harmless once may tell when it is repeated.
+    """
+    found: Counter = Counter()
+    for word, n in Counter(words(text)).items():
+        for base in (word, *(word[:k] + "-" for k in BEGINNINGS if len(word) > k)):
+            if bases is None or base in bases:
+                found[base] += n
+    return dict(found) | {f"{base}{least}": 1 for base, n in found.items() for least in REPEATS if n >= least}
+
+
+def bases_of(terms: list[str]) -> set[str]:
+    return {t.rstrip("0123456789") for t in terms}
+
+
+def numbered(text: str | None, number: dict[str, int], bases: set[str]) -> dict[int, int]:
+    """How often each known term of ``number`` occurs in the text."""
+    return {number[t]: n for t, n in terms_of(text, bases).items() if t in number}
+
+
 def _term_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(toxic, text) to (term, toxic, texts) of the batch."""
     for batch in batches:
         for toxic, texts in batch.groupby("toxic")["text"]:
             found = Counter()
             for text in texts:
-                found.update(set(words(text)))
+                found.update(terms_of(text).keys())
             if found:
                 yield pd.DataFrame({"term": list(found), "toxic": int(toxic), "texts": list(found.values())})
 
@@ -57,6 +83,7 @@ class Index:
     def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], prior: float):
         """``examples``: (doc_id, toxic, term numbers, counts), in order of doc_id; ``prior``: share of toxic rows."""
         self.number = {t: i for i, t in enumerate(terms)}
+        self.bases = bases_of(terms)
         self.idf, self.prior = idf, prior
         self.ids = np.array([e[0] for e in examples], dtype=np.int64)
         self.toxic = np.array([e[1] for e in examples], dtype=np.float64)
@@ -82,8 +109,7 @@ class Index:
         return (terms, weights / length) if length > 0 else (terms[:0], weights[:0])
 
     def of_text(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        get = self.number.get
-        found = Counter(i for i in map(get, words(text)) if i is not None)
+        found = numbered(text, self.number, self.bases)
         terms = np.array(sorted(found), dtype=np.int64)
         return self.vector(terms, np.array([found[t] for t in terms], dtype=np.float64))
 
@@ -149,7 +175,7 @@ def examples(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> t
     """(doc_id, toxic, text) of at most ``per_label`` rows of each label, by hash of the id, and the share of toxic rows.
 
     Only rows of the training fold with a label count. A document labelled twice is toxic if one label says so;
-    a repeated doc_id gives one example.
+    a repeated doc_id gives one example, and so do equal texts, lest copies make their words look telling.
     """
     known = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & training_fold())
              .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
@@ -159,7 +185,8 @@ def examples(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> t
     chosen = materialize(present.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_label).drop("place"), "chosen")
     # At most 2 * per_label ids, so the broadcast is bounded.
     texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    return materialize(texts.select("doc_id", "toxic", "text"), "examples"), float(share or 0.0)
+    once = texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    return materialize(once.select("doc_id", "toxic", "text"), "examples"), float(share or 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES, most_terms: int = TERMS, min_chi2: float = MIN_CHI2) -> Index:
@@ -178,15 +205,15 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES, most_te
         chi2 = rest * rest * (n1 + n0) / (seen * F.greatest(n1 + n0 - seen, F.lit(0.5)) * float(n1) * float(n0))
         terms = [r[0] for r in by_term.withColumn("chi2", chi2).filter(F.col("chi2") >= min_chi2)
                  .orderBy(F.desc("chi2"), "term").limit(most_terms).select("term").collect()]
-    number = {t: i for i, t in enumerate(terms)}
+    number, bases = {t: i for i, t in enumerate(terms)}, bases_of(terms)
 
     def frequencies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found, texts = Counter(), 0
             for text in batch["text"]:
                 texts += 1
-                found.update(number.keys() & set(words(text)))
-            yield pd.DataFrame({"term": [-1, *(number[t] for t in found)], "texts": [texts, *found.values()]})
+                found.update(numbered(text, number, bases).keys())
+            yield pd.DataFrame({"term": [-1, *found], "texts": [texts, *found.values()]})
 
     idf = np.zeros(len(terms))
     if terms:
@@ -195,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES, most_te
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [Counter(number[w] for w in words(t) if w in number) for t in batch["text"]]
+            found = [numbered(t, number, bases) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [sorted(c) for c in found],
                                 "counts": [[c[t] for t in sorted(c)] for c in found]})
 
