@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from marginalia.functions import text as X, vocabulary as V
@@ -11,8 +10,6 @@ MARKER = r"\[\^(-?[0-9]+)\^\]"
 MESSAGE_BUDGET = 200_000
 MESSAGE_FLOOR = 300
 
-MESSAGE_ARRAY = "ARRAY<STRUCT<role: STRING, content: STRING>>"
-
 
 def _marker_numbers(answer: Column) -> Column:
     digits = F.regexp_extract_all(answer, F.lit(MARKER), F.lit(1))
@@ -116,32 +113,25 @@ def _non_empty_array(json_text: Column) -> Column:
     return F.when(F.coalesce(F.json_array_length(json_text), F.lit(0)) > 0, json_text)
 
 
-def trim_messages(messages: list[dict], budget: int) -> list[dict]:
-    """Fit a message list into ``budget`` characters. System messages stay and lead; others lose their
-    heads from the oldest on, down to 300 characters; if still too long only the last two stay."""
-    total = sum(len(m["content"] or "") for m in messages)
-    if total <= budget:
-        return messages
-    system = [m for m in messages if m["role"] == "system"]
-    others = [m for m in messages if m["role"] != "system"]
-    share = max(len(others), 1)
-    trimmed = []
-    for message in others:
-        content = message["content"] or ""
-        if total > budget and len(content) > MESSAGE_FLOOR:
-            keep = max(MESSAGE_FLOOR, len(content) - (total - budget) // share)
-            total -= len(content) - keep
-            content = content[-keep:]
-        trimmed.append({"role": message["role"], "content": content})
-    if total > budget and len(trimmed) > 2:
-        trimmed = trimmed[-2:]
-    return system + trimmed
-
-
-def message_budget(budget: int = MESSAGE_BUDGET):
-    """Pandas UDF that applies ``trim_messages`` to an ``array<struct<role,content>>`` column."""
-
-    @F.pandas_udf(MESSAGE_ARRAY)
-    def fit(column: pd.Series) -> pd.Series:
-        return column.map(lambda ms: trim_messages([{"role": m["role"], "content": m["content"]} for m in ms], budget))
-    return fit
+def fit_messages(messages: Column, budget: int = MESSAGE_BUDGET) -> Column:
+    """An ``array<struct<role,content>>`` fitted into ``budget`` characters.
+
+    A list over the budget starts with its system messages, whole. The others give up their heads, the oldest first: an equal
+    share of what is over at that moment, but never below 300 characters. If that is not enough only the last two of them stay.
+    """
+    def chars(m):
+        return F.coalesce(F.length(m["content"]), F.lit(0))
+    is_system = lambda m: F.coalesce(m["role"] == "system", F.lit(False))
+    rest = F.filter(messages, lambda m: ~is_system(m))
+    over = F.aggregate(messages, F.lit(0).cast("bigint"), lambda n, m: n + chars(m)) - F.lit(budget)
+
+    def give_up(state, m):
+        share = F.floor(state["over"] / F.size(rest))
+        cut = F.when(state["over"] > 0, F.least(F.greatest(chars(m) - MESSAGE_FLOOR, F.lit(0)), share)).otherwise(0).cast("int")
+        return F.struct((state["over"] - cut).alias("over"), F.array_append(state["cuts"], cut).alias("cuts"))
+    start = F.struct(over.alias("over"), F.array().cast("array<int>").alias("cuts"))
+    folded = F.aggregate(rest, start, give_up)
+    shorter = F.zip_with(rest, folded["cuts"], lambda m, cut: F.struct(
+        m["role"].alias("role"), F.substring(F.coalesce(m["content"], F.lit("")), cut + 1, F.lit(2 ** 31 - 1)).alias("content")))
+    last_two = F.when((folded["over"] > 0) & (F.size(rest) > 2), F.slice(shorter, -2, 2)).otherwise(shorter)
+    return F.when(over <= 0, messages).otherwise(F.concat(F.filter(messages, is_system), last_two))

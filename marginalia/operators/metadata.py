@@ -10,7 +10,7 @@ from marginalia.functions import frontmatter as M, text as X
 def front_candidates(fronts: DataFrame) -> DataFrame:
     """``(paper_id, text)`` to one metadata candidate per row."""
     titled = fronts.withColumn("_t", M.infer_title(F.col("text")))
-    return (titled.withColumn("_a", M.author_finder()(F.col("text"), F.col("_t.line")))
+    return (titled.withColumn("_a", M.infer_authors(F.col("text"), F.col("_t.line")))
             .select("paper_id", X.first_doi(F.col("text")).alias("doi"), X.first_year(F.col("text")).alias("year"),
                     F.col("_t.title").alias("title"), F.col("_t.line").alias("title_line"),
                     F.col("_a.authors").alias("authors"), F.col("_a.line").alias("authors_line")))

@@ -198,6 +198,25 @@ def front_metadata(spark, sf):
     return MD.front_candidates(T.spread(T.table(spark, sf, "documents")).select(F.col("doc_id").alias("paper_id"), "text"))
 
 
+@query("front_authors", """
+SELECT c_custkey AS paper_id, CASE c_custkey % 3 WHEN 0 THEN marked || ', ' || second WHEN 1 THEN marked || ', ' || second || ', Carol White' ELSE first END AS authors,
+       CASE c_custkey % 3 WHEN 2 THEN 999 ELSE 1 END AS line FROM
+  (SELECT c_custkey, 'Ann ' || upper(left(c_mktsegment, 1)) || regexp_replace(lower(substr(c_mktsegment, 2)), '[a-d]$', '') AS marked, -- a last a to d counts as a footnote mark
+          'Ann ' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS first, 'Tom ' || (['Stone', 'Miller', 'Young', 'Fox', 'Grey'])[c_nationkey % 5 + 1] AS second
+   FROM customer)""")
+def front_authors(spark, sf):
+    """Front pages that name their authors behind a label, in lines below the title, or in addresses only."""
+    c = T.table(spark, sf, "customer")
+    first = F.concat(F.lit("Ann "), F.initcap("c_mktsegment"))
+    second = F.concat(F.lit("Tom "), F.element_at(F.array(*map(F.lit, ("Stone", "Miller", "Young", "Fox", "Grey"))), (F.col("c_nationkey") % 5 + 1).cast("int")))
+    head = F.concat(F.lit("Retrieval of Records for Customer "), F.col("c_name"), F.lit(".\n"))
+    text = (F.when(F.col("c_custkey") % 3 == 0, F.concat(head, F.lit("Authors: "), first, F.lit("1; "), second, F.lit("*\nAbstract\nBody text")))
+            .when(F.col("c_custkey") % 3 == 1, F.concat(head, first, F.lit("1,2, "), second, F.lit(" and Carol White\nUniversity of Somewhere\nAbstract\nBody text")))
+            .otherwise(F.concat(head, F.lit("see ann."), F.lower("c_mktsegment"), F.lit("3@cs.school.edu and x@mail.com\nAbstract"))))
+    found = MD.front_candidates(c.select(F.col("c_custkey").alias("paper_id"), text.alias("text")))
+    return found.select("paper_id", "authors", F.col("authors_line").alias("line"))
+
+
 @query("metadata_merge", """
 SELECT o_orderkey AS paper_id, CASE WHEN o_orderkey % 2 = 0 THEN 'A, B, C' ELSE 'X, Y' END AS authors, CASE WHEN o_custkey % 2 = 0 THEN 1990 ELSE 2001 END AS year,
        CASE WHEN o_orderkey % 3 = 0 THEN 'Deep graph learning for image segmentation' ELSE 'Base title' END AS title, CASE WHEN o_custkey % 2 = 0 THEN '10.1/a' ELSE '10.1/b' END AS doi FROM orders""")
@@ -678,15 +697,28 @@ def message_lists(spark, sf):
     return out.select("conversation_id", F.size("messages").cast("bigint").alias("n_messages"), F.col("messages")[0]["content"].alias("system_text"))
 
 
-@query("trimmed_messages")
+SQL["message_rows"] = """
+SELECT conv_id AS conversation_id, list({'role': role, 'content': text} ORDER BY turn, role, text) AS ms, sum(length(text)) - 1500 AS over FROM conversations GROUP BY conv_id"""
+# The messages give up their heads one after another: a fold over the list of those that are not system messages.
+SQL["message_cuts"] = """
+SELECT conversation_id, ms, over, list_filter(ms, lambda m: m.role <> 'system') AS rest,
+  list_reduce(list_transform(list_filter(ms, lambda m: m.role <> 'system'), lambda m: {'over': CAST(length(m.content) AS HUGEINT), 'cuts': []::INTEGER[]}),
+    lambda s, m: {'over': s.over - CASE WHEN s.over > 0 THEN least(greatest(m.over - 300, 0), s.over // greatest(len(list_filter(ms, lambda x: x.role <> 'system')), 1)) ELSE 0 END,
+                  'cuts': list_append(s.cuts, CAST(CASE WHEN s.over > 0 THEN least(greatest(m.over - 300, 0), s.over // greatest(len(list_filter(ms, lambda x: x.role <> 'system')), 1)) ELSE 0 END AS INTEGER))},
+    {'over': CAST(over AS HUGEINT), 'cuts': []::INTEGER[]}) AS f FROM message_rows"""
+
+
+@query("trimmed_messages", """
+SELECT conversation_id, CASE WHEN over <= 0 THEN array_to_string(list_transform(ms, lambda m: m.role || ':' || m.content), '|') ELSE
+  array_to_string(list_concat(list_transform(list_filter(ms, lambda m: m.role = 'system'), lambda m: m.role || ':' || m.content),
+    list_transform(list_filter(rest, lambda m, i: NOT (f.over > 0 AND len(rest) > 2) OR i > len(rest) - 2), lambda m, i:
+      m.role || ':' || substr(m.content, f.cuts[i + CASE WHEN f.over > 0 AND len(rest) > 2 THEN len(rest) - 2 ELSE 0 END] + 1))), '|') END AS messages FROM message_cuts""")
 def trimmed_messages(spark, sf):
-    """Each conversation's messages fitted into 1500 characters."""
+    """Each conversation's messages fitted into 1500 characters, roles and texts whole."""
     m = T.messages(spark, sf)
     lists = m.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda x: F.struct(
         x["role"].alias("role"), x["content"].alias("content"))).alias("ms"))
-    fit = A.message_budget(1500)
-    return lists.select("conversation_id", fit("ms").alias("ms")).select(
-        "conversation_id", F.size("ms").alias("n"), F.aggregate("ms", F.lit(0), lambda a, x: a + F.length(x["content"])).alias("chars"))
+    return lists.select("conversation_id", F.array_join(F.transform(A.fit_messages(F.col("ms"), 1500), lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("messages"))
 
 
 @query("local_hits", "SELECT event_id FROM events WHERE event_type <> 'error' AND event_id % 3 <> 0")

@@ -93,12 +93,22 @@ def test_sub_questions(spark):
     assert one(spark, A.sub_questions(F.col("t")), t="not json") is None
 
 
-def test_message_budget():
-    msgs = [{"role": "system", "content": "s" * 100}] + [{"role": "user", "content": str(i) * 1000} for i in range(4)]
-    assert A.trim_messages(msgs, 10_000) == msgs
-    out = A.trim_messages(msgs, 1500)
-    assert out[0]["role"] == "system" and all(len(m["content"]) >= 300 for m in out[1:])
-    assert sum(len(m["content"]) for m in out) <= 1500 or len(out) == 3
+def test_message_budget(spark):
+    msgs = [("system", "s" * 100)] + [("user", str(i) * 1000) for i in range(4)] + [("user", None)]
+
+    def fit(budget, rows=msgs):
+        df = spark.createDataFrame([(rows,)], "ms array<struct<role: string, content: string>>")
+        return [tuple(m) for m in df.select(A.fit_messages(F.col("ms"), budget).alias("m")).first().m]
+    assert fit(10_000) == msgs
+    for budget in (1500, 3900):  # each of the five others gives up a fifth of what is over when its turn comes
+        over, want = 4100 - budget, []
+        for role, content in msgs[1:]:
+            cut = min(max(len(content or "") - 300, 0), over // 5)
+            over -= cut
+            want.append((role, (content or "")[cut:]))
+        assert over > 0 and fit(budget) == [msgs[0], *want[-2:]]
+    assert fit(5, []) == [] and fit(5, [("system", "long enough")]) == [("system", "long enough")]
+    assert fit(300, [("user", "a" * 400)]) == [("user", "a" * 300)]
 
 
 def test_titles_and_authors(spark):
@@ -106,9 +116,13 @@ def test_titles_and_authors(spark):
              "University of Somewhere\nAbstract\nWe propose a method")
     title = one(spark, FM.infer_title(F.col("t")), t=front)
     assert (title["title"], title["line"]) == ("Deep Prototype Learning for Whole Slide Images", 1)
-    assert FM.find_authors(front, 1) == ("Alice Smith, Tom Jones, Carol White", 3)
-    assert FM.find_authors("Author: Ann Lee; Bo Chen", 999)[0] == "Ann Lee, Bo Chen"
-    assert FM.find_authors("see john.doe3@cs.school.edu and x@mail.com", 999)[0] == "John Doe"
+    authors = lambda text, line: tuple(one(spark, FM.infer_authors(F.col("t"), F.lit(line)), t=text))
+    assert authors(front, 1) == ("Alice Smith, Tom Jones, Carol White", 3)
+    assert authors("x\nAuthor: Ann Lee1; Bo Chen*", 999) == ("Ann Lee, Bo Chen", 1)
+    assert authors("see john.doe3@cs.school.edu, j_x@mit.edu and x@mail.com, JOHN.DOE@ac.edu", 999) == ("John Doe, J. X.", 999)
+    assert authors("Authors: 12\nAnn Lee, Bo Chen", 999) == (None, 999)
+    assert authors("A title here\nAnn B. Lee (a), Bo-\nrough Chen\n1 Introduction\nTom Jones and Ann Ray", 0)[1] == 1
+    assert authors(None, 999) == authors("", 0) == (None, 999)
     assert one(spark, FM.title_quality(F.col("t")), t="However this study shows it") < 0
 
 
