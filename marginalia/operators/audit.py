@@ -7,10 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators.blocks import block_of
 from marginalia.schemas import chunk_id
 
-MANIFEST_BLOCK = 65536
 
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str = "id") -> DataFrame:
@@ -43,19 +41,15 @@ def repair_links(paper_tags: DataFrame, papers: DataFrame, dry_run: bool = True)
 
 # Manifests -----------------------------------------------------------------------------------
 
-def chunk_manifests(chunks: DataFrame, block: int = MANIFEST_BLOCK) -> DataFrame:
+def chunk_manifests(chunks: DataFrame) -> DataFrame:
     """SHA-256 of a paper's ordered ``[{chunk_index, content_sha256}]`` list: ``(paper_id, manifest)``.
 
-    A paper with more than ``block`` chunks is hashed block by block; its manifest is then the hash of
-    the ordered block hashes, so no row holds the list of a whole large paper.
+    The definition is the same for papers of any length. Contents are hashed before they are grouped, so a paper's list
+    holds some hundred bytes per chunk: by definition it is one value, like the paper's full text.
     """
     entry = F.struct("chunk_index", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_sha256"))
-    placed = chunks.select("paper_id", block_of(F.col("chunk_index"), block).alias("block"), entry.alias("e"))
-    blocks = placed.groupBy("paper_id", "block").agg(
-        F.sha2(F.to_json(F.array_sort(F.collect_list("e"))), 256).alias("h"))
-    whole = blocks.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("block", "h"))), lambda b: b["h"]), "").alias("hs"))
-    return whole.select("paper_id", F.when(F.col("n") == 1, F.col("hs")).otherwise(F.sha2("hs", 256)).alias("manifest"))
+    return chunks.select("paper_id", entry.alias("e")).groupBy("paper_id").agg(
+        F.sha2(F.to_json(F.array_sort(F.collect_list("e"))), 256).alias("manifest"))
 
 
 def set_hash(row_hash: Column) -> Column:

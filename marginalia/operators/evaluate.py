@@ -7,10 +7,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from marginalia.functions import answers as A, metrics as M, text as X, vocabulary as V
 from marginalia.operators.blocks import salted_join
 from marginalia.schemas import chunk_id
-from marginalia.session import cut_lineage
+from marginalia.session import cut_lineage, materialize
 
 # Distinct values a single percentile buffer may hold before the ranged method takes over.
 PERCENTILE_VALUES = 2_000_000
+# Problems quoted in an error message; the table it names holds all.
+SHOWN = 50
 
 
 # Selecting items -----------------------------------------------------------------------------
@@ -129,12 +131,15 @@ def locator_scores(locators: DataFrame, chunks: DataFrame) -> DataFrame:
     return best.withColumn("chunk_id", chunk_id())
 
 
+def unresolved(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """Ids of the positive items without a resolvable label: ``(qa_id, problem)``."""
+    return (items.filter("has_answer").join(labels.select("qa_id").distinct(), "qa_id", "left_anti")
+            .select("qa_id", F.lit("no label could be resolved").alias("problem")).distinct())
+
+
 def require_resolved(items: DataFrame, labels: DataFrame) -> None:
-    """Abort when a positive item has no resolvable label, naming the ids."""
-    bad = (items.filter("has_answer").join(labels.select("qa_id").distinct(), "qa_id", "left_anti")
-           .select("qa_id").orderBy("qa_id").limit(100).collect())
-    if bad:
-        raise ValueError("no label could be resolved for: " + ", ".join(r["qa_id"] for r in bad))
+    """Abort when a positive item has no resolvable label; see :func:`raise_if_any` for the list of ids."""
+    raise_if_any(unresolved(items, labels), "evaluation set")
 
 
 # Metrics -------------------------------------------------------------------------------------
@@ -359,7 +364,23 @@ def benchmark_counts(items: DataFrame) -> DataFrame:
 
 
 def raise_if_any(violations: DataFrame, what: str) -> None:
-    """Raise one error that lists the violations (the first hundred)."""
-    bad = violations.limit(100).collect()
-    if bad:
-        raise ValueError(f"{what} is invalid:\n" + "\n".join("  - " + ": ".join(map(str, r)) for r in bad))
+    """Raise one error for all violations.
+
+    The whole list is written to a table in the shared folder; the message gives their number, that place and as many of
+    them, in order, as a message can hold.
+    """
+    if violations.isEmpty():
+        return
+    listed = materialize(violations, "violations")
+    n = listed.count()
+    shown = [": ".join(map(str, r)) for r in listed.orderBy(*listed.columns).limit(SHOWN).collect()]
+    more = f"\n  and {n - len(shown)} more" if n > len(shown) else ""
+    raise InvalidData(f"{what} is invalid, {n} problems, all listed in {listed.inputFiles()[0].rsplit('/', 1)[0]}:\n  - " + "\n  - ".join(shown) + more, listed)
+
+
+class InvalidData(ValueError):
+    """An invalid data set; ``violations`` is the table of everything found."""
+
+    def __init__(self, message: str, violations: DataFrame):
+        super().__init__(message)
+        self.violations = violations

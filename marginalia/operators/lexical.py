@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -14,10 +15,6 @@ from marginalia.operators.blocks import block_of
 from marginalia.schemas import chunk_id
 from marginalia.session import bounded_rows
 
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
 
 # Chunks of one paper that travel together; a neighbour pair is at most one block apart.
 NEIGHBOR_BLOCK = 256
@@ -154,7 +151,7 @@ def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 20, bilingual: d
     """
     source = "keyword-bm25" if neighbor_weight is None else "keyword-bm25-bilingual-neighbor"
     terms = query_term_table(queries, bilingual)
-    if bounded_rows(terms, max_terms) is None:
+    if bounded_rows(terms, max_terms, "term") is None:
         scored = bm25_scores(chunks, queries, bilingual, neighbor_weight, k1, b)
     else:
         scored = _bm25_batches(chunks, terms, k, neighbor_weight, k1, b)
@@ -248,7 +245,7 @@ def count_search(chunks: DataFrame, queries: DataFrame, k: int = 20, max_terms:
     """
     tokens = (queries.select("query_id", F.explode(X.white_tokens(F.col("text"))).alias("token"))
               .groupBy("query_id", F.lower("token").alias("token")).agg(F.count(F.lit(1)).alias("times")))
-    if ahocorasick is None or bounded_rows(tokens, max_terms) is None:
+    if bounded_rows(tokens, max_terms, "token") is None:
         scored = count_scores(chunks, queries)
     else:
         scored = _count_batches(chunks, tokens, k)
@@ -321,7 +318,7 @@ def keyword_search(papers: DataFrame, queries: DataFrame, k: int = 20, k1: float
     terms = queries.select("query_id", F.explode(X.keyword_query(F.col("text"))).alias("term"))
     docs = papers.select(F.col("id").alias("paper_id"), X.words(
         F.concat_ws(" ", "title", "authors", "abstract")).alias("tokens"))
-    if bounded_rows(terms, max_terms) is None:
+    if bounded_rows(terms, max_terms, "term") is None:
         matched = keyword_scores(docs, terms, k1, b)
     else:
         rows = docs.select("paper_id", F.lit(0).alias("chunk_index"), F.size("tokens").alias("doc_len"), "tokens")

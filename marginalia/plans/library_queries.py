@@ -462,10 +462,10 @@ def orphan_vectors(spark, sf):
 
 SQL["qa_rows"] = """
 SELECT d.doc_id, 'qa' || (d.doc_id - d.doc_id % 50 * (CASE WHEN d.doc_id % 400 < 50 THEN 1 ELSE 0 END)) AS qa_id, string_split(text, chr(10))[1] AS question,
-       CASE WHEN n_chars < 200 THEN '  ' ELSE left(text, 40) END AS ground_truth, CASE lang WHEN 'en' THEN 'factoid' WHEN 'fr' THEN 'summary' WHEN 'de' THEN 'comparison' ELSE 'essay' END AS question_type,
+       CASE WHEN n_chars < 200 THEN '  ' ELSE text END AS ground_truth, CASE lang WHEN 'en' THEN 'factoid' WHEN 'fr' THEN 'summary' WHEN 'de' THEN 'comparison' ELSE 'essay' END AS question_type,
        CASE WHEN source IN ('src1', 'src2') THEN 'web' ELSE 'synthetic' END AS source, l.quality = 1 AS has_answer,
        CASE WHEN d.doc_id % 3 = 0 THEN 'dev' WHEN d.doc_id % 3 = 1 THEN 'train' ELSE 'test' END AS split, toxic = 0 AS reviewed,
-       'doi:' || source || '/' || lang AS uid, left(text, 30) AS quote FROM documents d LEFT JOIN labels l USING (doc_id)"""
+       'doi:' || source || '/' || lang AS uid, text AS quote FROM documents d LEFT JOIN labels l USING (doc_id)"""
 
 
 def qa_rows(spark, sf):
@@ -474,13 +474,13 @@ def qa_rows(spark, sf):
     qid = i - (i % 50) * F.when(i % 400 < 50, 1).otherwise(0)
     return d.select(
         "doc_id", F.concat(F.lit("qa"), qid.cast("string")).alias("qa_id"), F.split("text", "\n")[0].alias("question"),
-        F.when(F.col("n_chars") < 200, "  ").otherwise(F.left("text", F.lit(40))).alias("ground_truth"),
+        F.when(F.col("n_chars") < 200, "  ").otherwise(F.col("text")).alias("ground_truth"),
         F.when(F.col("lang") == "en", "factoid").when(F.col("lang") == "fr", "summary").when(F.col("lang") == "de", "comparison").otherwise("essay").alias("question_type"),
         F.when(F.col("source").isin("src1", "src2"), "web").otherwise("synthetic").alias("source"), (F.col("quality") == 1).alias("has_answer"),
         F.when(i % 3 == 0, "dev").when(i % 3 == 1, "train").otherwise("test").alias("split"), (F.col("toxic") == 0).alias("reviewed"),
         F.lit(None).cast("array<struct<paper_id:bigint,section:string,keywords:array<string>>>").alias("relevant_chunks"),
         F.array(F.struct(F.concat(F.lit("doi:"), F.col("source"), F.lit("/"), F.col("lang")).alias("paper_uid"),
-                         F.left("text", F.lit(30)).alias("quote"))).alias("relevant_evidence"))
+                         F.col("text").alias("quote"))).alias("relevant_evidence"))
 
 
 @query("quality_violations", """

@@ -129,14 +129,14 @@ def keyword_and_search(spark, sf):
 
 @query("technical_tokens", f"""
 SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(len(list_distinct(toks)) AS BIGINT) AS n_distinct,
-       coalesce(array_to_string(toks[1:8], ' '), '') AS first_tokens
+       md5(coalesce(array_to_string(toks, ' '), '')) AS tokens_hash
 FROM (SELECT doc_id, list_transform(regexp_extract_all(text, {TOKEN}), lambda t: lower(t)) AS toks FROM documents)""")
 def technical_tokens(spark, sf):
     d = T.spread(T.table(spark, sf, "documents").select("doc_id", "text"))
     toks = X.technical_tokens(F.col("text"))
     return d.select("doc_id", toks.alias("t")).select(
         "doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"),
-        F.array_join(F.slice("t", 1, 8), " ").alias("first_tokens"))
+        F.md5(F.array_join("t", " ")).alias("tokens_hash"))
 
 
 @query("sanitized_queries", """

@@ -561,12 +561,12 @@ def paper_overviews(spark, sf):
 
 # Turns as sub-answers of a topic; a turn has as many chunks as its number plus one.
 SQL["turn_answers"] = """
-SELECT conv_id AS topic_id, turn AS idx, turn % 4 AS n_chunks, left(text, 60) || ' [^1^] and [^' || turn || '^] or [^99^].' AS answer FROM conversations"""
+SELECT conv_id AS topic_id, turn AS idx, turn % 4 AS n_chunks, text || ' [^1^] and [^' || turn || '^] or [^99^].' AS answer FROM conversations"""
 
 
 def _turn_answers(spark, sf):
     c = T.table(spark, sf, "conversations")
-    answer = F.concat(F.left("text", F.lit(60)), F.lit(" [^1^] and [^"), F.col("turn").cast("string"), F.lit("^] or [^99^]."))
+    answer = F.concat(F.col("text"), F.lit(" [^1^] and [^"), F.col("turn").cast("string"), F.lit("^] or [^99^]."))
     return c.select(F.col("conv_id").alias("topic_id"), F.col("turn").alias("index"), (F.col("turn") % 4).cast("int").alias("n_chunks"), answer.alias("answer"), "text")
 
 
@@ -593,7 +593,7 @@ def marker_verification(spark, sf):
 
 SQL["generated"] = """
 SELECT conv_id, turn, role <> 'system' AS has_answer, CASE WHEN turn = 1 THEN '  ' WHEN turn = 2 THEN ' [调用 LLM 出错: x]' WHEN turn = 3 THEN '不知道。'
-  ELSE left(text, 200) || ' [p' || conv_id || '_c' || turn || '] [p1_c-1] [p1_c-1]' END AS answer, left(text, 20) || '，the；' || role AS truth,
+  ELSE text || ' [p' || conv_id || '_c' || turn || '] [p1_c-1] [p1_c-1]' END AS answer, text || '，the；' || role AS truth,
   ['p' || conv_id || '_c' || turn, 'p' || conv_id || '_c99'] AS rel FROM conversations"""
 
 
@@ -601,9 +601,9 @@ def _generated(spark, sf):
     c = T.table(spark, sf, "conversations")
     ref = F.concat(F.lit("p"), F.col("conv_id").cast("string"), F.lit("_c"), F.col("turn").cast("string"))
     answer = (F.when(F.col("turn") == 1, "  ").when(F.col("turn") == 2, " [调用 LLM 出错: x]").when(F.col("turn") == 3, "不知道。")
-              .otherwise(F.concat(F.left("text", F.lit(200)), F.lit(" ["), ref, F.lit("] [p1_c-1] [p1_c-1]"))))
+              .otherwise(F.concat(F.col("text"), F.lit(" ["), ref, F.lit("] [p1_c-1] [p1_c-1]"))))
     return c.select("conv_id", "turn", (F.col("role") != "system").alias("has_answer"), answer.alias("answer"),
-                    F.concat(F.left("text", F.lit(20)), F.lit("，the；"), "role").alias("ground_truth"),
+                    F.concat(F.col("text"), F.lit("，the；"), "role").alias("ground_truth"),
                     F.array(ref, F.concat(F.lit("p"), F.col("conv_id").cast("string"), F.lit("_c99"))).alias("relevant_ids"))
 
 

@@ -7,10 +7,12 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Upper bound on rows shipped to every executor by an explicit broadcast.
 BROADCAST_ROWS = 20_000
+# Upper bound on the text in them.
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app_name: str = "marginalia", master: str | None = None,
@@ -56,13 +58,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's setting, or a local one in tests."""
+    """The shared folder for cut lineage: the cluster's setting. Only in a single JVM, where it is unset, one of its own."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = sc.getCheckpointDir()
     if root is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="marginalia-checkpoint-")
     if sc.getCheckpointDir() is None:
@@ -94,7 +96,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> int | None:
-    """Row count when it is at most ``limit``; None (after at most limit+1 rows) otherwise."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
+def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROWS, text: str | None = None, max_bytes: int = BROADCAST_BYTES) -> int | None:
+    """Row count when it is at most ``limit`` and column ``text`` holds at most ``max_bytes`` in all; None otherwise."""
+    size = F.sum(F.octet_length(text)) if text else F.lit(0)
+    n, held = df.limit(limit + 1).agg(F.count(F.lit(1)), size).first()
+    return n if n <= limit and (held or 0) <= max_bytes else None

@@ -170,8 +170,11 @@ def test_dataset_rules(spark):
         E.select_split(spark.createDataFrame(leak, QA), "holdout")
     with pytest.raises(ValueError, match="zz"):
         E.select_qa(spark.createDataFrame(leak, QA), ["a", "zz"])
-    with pytest.raises(ValueError, match="a, b, c"):
+    with pytest.raises(ValueError, match="3 problems"):
         E.require_resolved(spark.createDataFrame(leak, QA), spark.createDataFrame([], "qa_id STRING"))
+    with pytest.raises(E.InvalidData, match="250 problems") as found:
+        E.raise_if_any(E.dataset_violations(spark.createDataFrame([qa(qa_id=f"q{i}", question=" ") for i in range(250)], QA)), "dataset")
+    assert {r["qa_id"] for r in found.value.violations.collect()} == {f"q{i}" for i in range(250)}
 
 
 def test_trend(spark):
@@ -239,11 +242,16 @@ def test_thesis_title_and_chapters(spark):
     assert [(r["title"], r["level"], r["start_paragraph"], r["end_paragraph"]) for r in got] == [("第一章 绪论", 1, 5, 7), ("1.1 背景", 2, 8, 9)]
 
 
-def test_manifest_of_a_long_paper(spark):
-    rows = [(1, i, f"t{i}") for i in range(-1, 40)]
-    df = spark.createDataFrame(rows, "paper_id BIGINT, chunk_index INT, content STRING")
-    whole, parts = (audit.chunk_manifests(df.repartition(n), b).first()["manifest"] for n, b in ((3, 65536), (5, 16)))
-    assert whole != parts and parts == audit.chunk_manifests(df.repartition(7), 16).first()["manifest"]
+def test_manifest_has_one_definition(spark):
+    import hashlib
+    import json
+    df = spark.createDataFrame([(1, i, f"t{i}") for i in range(-1, 40)] + [(2, 0, None)], "paper_id BIGINT, chunk_index INT, content STRING")
+    long = spark.range(70_000).select(F.lit(3).cast("bigint").alias("paper_id"), F.col("id").cast("int").alias("chunk_index"), F.lit("x").alias("content"))
+    got = dict(audit.chunk_manifests(df.union(long).repartition(5)).collect())
+    for paper, texts in ((1, {i: f"t{i}" for i in range(-1, 40)}), (2, {0: ""}), (3, dict.fromkeys(range(70_000), "x"))):
+        entries = [{"chunk_index": i, "content_sha256": hashlib.sha256(t.encode()).hexdigest()} for i, t in sorted(texts.items())]
+        assert got[paper] == hashlib.sha256(json.dumps(entries, separators=(",", ":")).encode()).hexdigest()
+    df = df.filter("paper_id = 1")
     uid = spark.createDataFrame([(1, "doi:x"), (9, "doi:x")], "paper_id BIGINT, paper_uid STRING")
     moved = df.withColumn("paper_id", F.lit(9).cast("bigint"))
     assert audit.corpus_fingerprint(df, uid).first() == audit.corpus_fingerprint(moved.repartition(4), uid).first()
