@@ -172,6 +172,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Itera
         yield held.combine_chunks()
 
 
+def only_known(batch: pa.RecordBatch, column: str, vocabulary: pa.Array) -> pa.RecordBatch:
+    """The batch with the lists of ``column`` reduced to the values in ``vocabulary``, repetitions and order kept."""
+    lists = batch.column(column)
+    values = lists.flatten()
+    keep = pc.is_in(values, value_set=vocabulary)
+    owner = np.asarray(pc.list_parent_indices(lists))[np.asarray(keep)]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(lists)))]).astype(np.int32)
+    kept = pa.ListArray.from_arrays(pa.array(offsets), values.filter(keep))
+    return pa.RecordBatch.from_arrays([kept if n == column else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+
 def count_tokens_in_words(tokens: pa.ListArray, automaton, n_tokens: int):
     """(row, token, occurrences): non-overlapping occurrences of each query token inside the row's words.
 

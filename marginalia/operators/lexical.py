@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from marginalia.functions import scoring as S, text as X, vocabulary as V
 from marginalia.operators.blocks import block_of
 from marginalia.schemas import chunk_id
-from marginalia.session import bounded_rows
+from marginalia.session import bounded_rows, materialize
 
 
 # Chunks of one paper that travel together; a neighbour pair is at most one block apart.
@@ -194,7 +194,14 @@ def _score_batches(docs: DataFrame, terms: DataFrame, k: int, k1: float, b: floa
             if table.num_rows:
                 yield from S.score_batch(table, matrix, vocabulary, saturate, k, neighbor_weight, needed)
 
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(shared.value[0].terms, pa.string())
+        for batch in batches:
+            yield S.only_known(batch, "tokens", vocabulary)
+
     if neighbor_weight is not None:
+        # Only words some query asks for travel to their paper's block; lengths were counted before.
+        docs = docs.mapInArrow(known, docs.schema)
         own = block_of(F.col("chunk_index"), NEIGHBOR_BLOCK)
         near = [block_of(F.col("chunk_index") + d, NEIGHBOR_BLOCK) for d in (-1, 1)]
         docs = (docs.withColumn("home_block", own).withColumn("block", F.explode(F.array_distinct(F.array(own, *near))))
@@ -327,7 +334,8 @@ def keyword_search(papers: DataFrame, queries: DataFrame, k: int = 20, k1: float
             q=terms.schema["query_id"].dataType.simpleString()), all_terms=True)
     window = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("paper_id").asc())
     best = matched.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-    return (best.select("query_id", "rank", "paper_id")
+    best = materialize(best.select("query_id", "rank", "paper_id"), "winners")  # few rows of known size, joined to the texts last
+    return (best
             .join(papers.withColumnRenamed("id", "paper_id"), "paper_id")
             .select("query_id", "rank", F.lit(None).cast("string").alias("chunk_id"), "paper_id", "title",
                     "authors", "year",

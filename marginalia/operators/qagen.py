@@ -112,7 +112,8 @@ def verified_excerpts(excerpts: DataFrame, full_texts: DataFrame, keys: list[str
     rows = (excerpts.withColumn("excerpt", X.strip(F.col("excerpt"))).filter(F.length("excerpt") >= 8)
             .groupBy(*keys, "paper_id", "excerpt").agg(F.min("pos_excerpt").alias("pos_excerpt")))
     texts = full_texts.select("paper_id", X.collapse(F.lower("text")).alias("norm"))
-    found = salted_join(rows, texts, ["paper_id"]).filter(
+    # Each text travels once; adaptive execution splits the excerpts of a hot paper.
+    found = rows.join(texts, "paper_id").filter(
         F.contains("norm", X.collapse(F.lower("excerpt")))).drop("norm")
     ranked = found.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "paper_id").orderBy("pos_excerpt")))
     return (ranked.filter(F.col("_n") <= keep).groupBy(*keys, "paper_id")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from marginalia.functions import vocabulary as V
 from marginalia.operators import fusion, lexical, vector
 from marginalia.schemas import HIT_COLUMNS, chunk_id
+from marginalia.session import materialize
 
 # Lexical profile name -> arguments of the BM25 search; "count" is the occurrence score.
 LEXICAL_PROFILES = {
@@ -24,12 +25,16 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, profile: str = "count"
 
 
 def as_hits(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Attach the hit columns to ``(query_id, rank, chunk_id, score, source)`` rows."""
+    """Attach the hit columns to ``(query_id, rank, chunk_id, score, source)`` rows.
+
+    The ranked rows are written first: Spark then knows how few they are and sends them to the texts, not the texts around.
+    """
+    ranked = materialize(ranked.select("query_id", "rank", "chunk_id", "score", "source"), "winners")
     payload = {"title": "string", "authors": "string", "year": "int", "page_number": "int", "chunk_type": "string"}
     table = chunks.select(chunk_id().alias("chunk_id"), "paper_id", "content",
                           *[F.col(c) if c in chunks.columns else F.lit(None).cast(t).alias(c)
                             for c, t in payload.items()])
-    return (ranked.select("query_id", "rank", "chunk_id", "score", "source").join(table, "chunk_id")
+    return (ranked.join(table, "chunk_id")
             .select("query_id", "rank", *HIT_COLUMNS))
 
 

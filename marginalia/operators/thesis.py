@@ -174,12 +174,19 @@ def graph_nodes(papers: DataFrame, links: DataFrame) -> DataFrame:
     return paper_nodes.unionByName(chapter_nodes)
 
 
-def chapter_texts(paragraphs: DataFrame, structures: DataFrame) -> DataFrame:
-    """Paragraphs of each chapter joined by newline: ``thesis_id, chapter_index, text``."""
+def chapter_texts(paragraphs: DataFrame, structures: DataFrame, limit: int | None = None) -> DataFrame:
+    """Paragraphs of each chapter joined by newline: ``thesis_id, chapter_index, text``.
+
+    With ``limit`` only the first so many characters: every paragraph adds at least its newline, so the first ``limit + 1``
+    reach it, and no longer chapter is gathered.
+    """
     rows = with_chapter(paragraphs.select("thesis_id", "index", "text"), structures).filter(
         F.col("chapter_index").isNotNull())
-    return rows.groupBy("thesis_id", "chapter_index").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("index", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    if limit is not None:
+        place = F.row_number().over(W.partitionBy("thesis_id", "chapter_index").orderBy("index"))
+        rows = rows.withColumn("text", F.left("text", F.lit(limit))).withColumn("_n", place).filter(F.col("_n") <= limit + 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda p: p["text"]), "\n")
+    return rows.groupBy("thesis_id", "chapter_index").agg((text if limit is None else F.left(text, F.lit(limit))).alias("text"))
 
 
 def analysis_texts(texts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marginalia.schemas import all_of
-from marginalia.session import bounded_rows
+from marginalia.session import bounded_rows, materialize
 
 # Rows per block of the grid; one task holds one block of each side.
 QUERY_BLOCK = 2048
@@ -108,7 +108,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, broadcast_value
             return _best(left["query_id"].tolist(), _unit(left["embedding"]),
                          right["vector_id"].to_numpy(), _unit(right["embedding"]), k)
 
-        tasks = min(nq * nv, 8192)
+        tasks = nq * nv  # one cell each
         parts = (grid(queries, "qb", "vb", nq, nv).repartition(tasks, "qb", "vb").groupBy("qb", "vb")
                  .cogroup(grid(vectors, "vb", "qb", nv, nq).repartition(tasks, "qb", "vb").groupBy("qb", "vb"))
                  .applyInPandas(cell, schema))
@@ -127,6 +127,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int = 10, filte
     pool = vectors.filter(metadata_filter(filters))
     fetch = max(2 * top_k, 20)
     ranked = vector_top_k(queries, pool.select(F.col("chunk_id").alias("vector_id"), "embedding"), fetch, **layout)
+    ranked = materialize(ranked, "winners")  # few rows of known size, joined to the texts last
     return (ranked.join(pool.drop("embedding"), ranked.vector_id == pool.chunk_id)
             .select("query_id", "rank", "chunk_id", "paper_id", "title", "authors", "year",
                     F.col("document").alias("content"), "page_number", "chunk_type", "score",

@@ -322,7 +322,7 @@ SELECT thesis_id, CAST(chapter_index AS INTEGER) AS chapter_index, sha256(left(s
 GROUP BY 1, 2 HAVING length(trim(left(string_agg(text, chr(10) ORDER BY idx), 6000))) >= 30""")
 def chapter_texts(spark, sf):
     p, s = _with_structures(spark, sf)
-    return TH.analysis_texts(TH.chapter_texts(p, s)).select("thesis_id", "chapter_index", F.sha2("text", 256).alias("text_hash"))
+    return TH.analysis_texts(TH.chapter_texts(p, s, TH.CHAPTER_CHARS)).select("thesis_id", "chapter_index", F.sha2("text", 256).alias("text_hash"))
 
 
 @query("document_sizes", """
