@@ -550,3 +550,11 @@ def comparison_keys(spark, sf):
     e = F.col("relevant_evidence")[0]
     return qa_rows(spark, sf).select("qa_id", E.comparison_key(
         F.sha2("question", 256), F.sha2(e["quote"], 256), F.sha2(e["paper_uid"], 256), "hybrid", "bm25", 5).alias("comparison_key"))
+
+
+@query("unresolved_items", """
+SELECT CAST(doc_id AS VARCHAR) AS qa_id, 'no label could be resolved' AS problem FROM documents d WHERE n_chars >= 200 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def unresolved_items(spark, sf):
+    """Documents of some length as positive items, the label table as what could be resolved."""
+    items = T.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("qa_id"), (F.col("n_chars") >= 200).alias("has_answer"))
+    return E.unresolved(items, T.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("qa_id")))

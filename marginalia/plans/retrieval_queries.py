@@ -267,6 +267,18 @@ def hybrid_search(spark, sf):
     return out.select("query_id", "rank", "paper_id", "source")
 
 
+@query("one_flag_search", """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, paper_id, 'keyword' AS source FROM kw_ranked WHERE rank <= 10
+UNION ALL SELECT query_id, CAST(rank AS INTEGER) AS rank, paper_id, 'semantic' AS source FROM vec_ranked WHERE rank <= 10""")
+def one_flag_search(spark, sf):
+    """Library search with one of the two lists switched off: the other is cut to the requested size."""
+    papers, vectors = T.document_papers(spark, sf), T.vector_table(spark, sf)
+    keyword = R.hybrid_papers(T.short_queries(spark, sf), papers, vectors, 10, use_semantic=False)
+    semantic = R.hybrid_papers(T.vector_queries(spark, sf), papers, vectors, 10, use_keyword=False)
+    cols = ["query_id", "rank", "paper_id", "source"]
+    return keyword.select(cols).unionByName(semantic.select(cols))
+
+
 @query("retrieval_profiles", " UNION ALL ".join(
     f"SELECT '{p}' AS profile, query_id, CAST(rank AS INTEGER) AS rank, chunk_id, 'keyword-only(degraded)' AS mode_used, true AS degraded FROM ("
     f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {src}) WHERE rank <= 5"
