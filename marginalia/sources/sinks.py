@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.functions import vocabulary as V
 from marginalia.operators import evaluate as E, library as L
+from marginalia.operators.audit import vector_validation
+from marginalia.operators.vector import vector_top_k
 
 
 def write_csv(papers: DataFrame, paper_tags: DataFrame, tags: DataFrame, path: str) -> None:
@@ -66,6 +68,24 @@ def publish_table(spark: SparkSession, root: str, version: str) -> None:
     spark.createDataFrame([(last + 1, version)], "seq BIGINT, version STRING").coalesce(1).write.mode("append").parquet(pointer)
 
 
+def publish_vectors(vectors: DataFrame, chunks: DataFrame, root: str, dimension: int, smoke: list[float]) -> str:
+    """Stage a vector table, validate what was written, then publish it; returns the version.
+
+    The ids must be those of ``chunks``, each once, all vectors must have ``dimension`` values, and a search for ``smoke`` must
+    find something. Otherwise an error lists the problems and readers keep the version they have.
+    """
+    spark = vectors.sparkSession
+    version = stage_table(vectors, root)
+    staged = spark.read.parquet(os.path.join(root, "versions", version))
+    E.raise_if_any(vector_validation(staged, chunks, dimension), "vector table")
+    query = spark.createDataFrame([(0, smoke)], "query_id BIGINT, embedding ARRAY<FLOAT>")
+    found = vector_top_k(query, staged.select(F.col("chunk_id").alias("vector_id"), "embedding"), 1)
+    if not staged.isEmpty() and found.isEmpty():
+        raise E.InvalidData("vector table is invalid: the smoke query found nothing", found)
+    publish_table(spark, root, version)
+    return version
+
+
 def read_published(spark: SparkSession, root: str) -> DataFrame:
     version = spark.read.parquet(os.path.join(root, "pointer")).agg(F.max_by("version", "seq")).first()[0]
     return spark.read.parquet(os.path.join(root, "versions", version))

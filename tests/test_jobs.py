@@ -84,6 +84,22 @@ def test_staged_versions(spark, tmp_path):
     assert S.read_published(spark, root).count() == 5
 
 
+def test_vectors_are_validated_before_publication(spark, tmp_path):
+    from marginalia.operators.evaluate import InvalidData
+    chunks = spark.createDataFrame([(1, 0), (1, 1)], "paper_id BIGINT, chunk_index INT")
+    table = lambda *rows: spark.createDataFrame(list(rows), "chunk_id STRING, embedding ARRAY<FLOAT>")
+    good = table(("p1_c0", [1.0, 0.0]), ("p1_c1", [0.0, 1.0]))
+    root = str(tmp_path / "vectors")
+    version = S.publish_vectors(good, chunks, root, 2, [1.0, 1.0])
+    for bad in (table(("p1_c0", [1.0, 0.0])), table(("p1_c0", [1.0, 0.0]), ("p1_c1", [0.0])), good.unionByName(good),
+                table(("p1_c0", [1.0, 0.0]), ("p1_c1", [0.0, 1.0]), ("p9_c0", [0.0, 1.0]))):
+        with pytest.raises(InvalidData):
+            S.publish_vectors(bad, chunks, root, 2, [1.0, 1.0])
+    assert spark.read.parquet(root + "/pointer").collect()[0].version == version and S.read_published(spark, root).count() == 2
+    S.publish_vectors(good.limit(0), chunks.limit(0), root, 2, [1.0, 1.0])
+    assert S.read_published(spark, root).count() == 0
+
+
 def test_conform(spark):
     df = conform(spark.createDataFrame([(1, None)], "id INT, status STRING"), PAPERS, {"status": "unread"})
     row = df.first()
