@@ -12,10 +12,10 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from marginalia.llm.shared import training_fold
+from marginalia.llm.shared import bounded_sample, training_fold
 
 N = 4
 BITS = 20
@@ -140,9 +140,8 @@ class Filters:
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """lang, text of at most ``rows`` labelled training rows of each language, by hash of the id."""
     # Ids first; the texts of the chosen ones are then looked up, at most ``rows`` for each language.
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & training_fold()).select("doc_id", "lang")
-              .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows).select("doc_id", "lang").distinct())
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & training_fold()).select("doc_id", "lang")
+    chosen = bounded_sample(known, "lang", "doc_id", rows).distinct()
     return docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").filter("text is not null").dropDuplicates(["lang", "doc_id"]).select("lang", "text")
 
 

@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from marginalia.session import materialize
-from marginalia.llm.shared import training_fold
+from marginalia.llm.shared import bounded_sample, training_fold
 
 # Bounds of the model: examples per label, terms.
 EXAMPLES = 2000
@@ -50,15 +50,32 @@ def terms_of(text: str | None, bases: set[str] | dict | None = None) -> dict[str
     further term: what is harmless once may tell when it is repeated.
     """
     found: Counter = Counter()
-    for word, n in Counter(words(text)).items():
+    held = words(text)
+    if bases is not None:
+        # A base and the words it stands for begin alike, so most words are out at once.
+        heads = bases if isinstance(bases, Heads) else Heads(bases)
+        held = [w for w in held if w[:heads.length] in heads.known]
+    for word, n in Counter(held).items():
         for base in (word, *(word[:k] + "-" for k in BEGINNINGS if len(word) > k)):
             if bases is None or base in bases:
                 found[base] += n
     return dict(found) | {f"{base}{least}": 1 for base, n in found.items() for least in REPEATS if n >= least}
 
 
-def bases_of(terms: list[str]) -> set[str]:
-    return {t.rstrip("0123456789") for t in terms}
+class Heads(set):
+    """A set of bases with their first letters."""
+
+    def __init__(self, bases):
+        super().__init__(bases)
+        self.length = min(BEGINNINGS)
+        self.known = {b.rstrip("-")[:self.length] for b in self}
+
+    def __reduce__(self):
+        return Heads, (list(self),)
+
+
+def bases_of(terms: list[str]) -> Heads:
+    return Heads(t.rstrip("0123456789") for t in terms)
 
 
 def numbered(text: str | None, number: dict[str, int], bases: set[str]) -> dict[int, int]:
@@ -114,25 +131,41 @@ class Index:
         return self.vector(terms, np.array([found[t] for t in terms], dtype=np.float64))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` examples of greatest cosine above 0 as (cosine, example), exact; equal cosines by lower example number."""
+        """The ``k`` examples of greatest cosine above 0 as (cosine, example), exact; equal cosines by lower example number.
+
+        The two blocks of greatest bound give a first k-th cosine; of the rest only blocks whose bound reaches it are read.
+        """
         if not len(terms) or not self.blocks:
             return []
         bounds = weights @ self.maxima[terms]
-        found: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            bound = bounds[block]
-            # A margin for rounding: the bound and the cosines are sums in different order.
-            if bound <= 0 or len(found) == k and bound < found[-1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                a, b = self.begin[t * self.blocks + block], self.begin[t * self.blocks + block + 1]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        found = self._best([], terms, weights, order[:2], k, skip)
+        # A margin for rounding: bounds and cosines are sums in different order.
+        least = found[-1][0] - 1e-9 if len(found) == k else 0.0
+        rest = order[2:]
+        rest = rest[bounds[rest] >= least]
+        return self._best(found, terms, weights, rest, k, skip) if len(rest) else found
+
+    def _best(self, found: list, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
+        """The ``k`` best of ``found`` and the examples in ``blocks``."""
+        scores = np.zeros(self.blocks * BLOCK)
+        for t, w in zip(terms * self.blocks, weights):
+            # Many blocks: the term's postings in one piece, those of other blocks are left out below.
+            for a, b in ((t + i, t + i + 1) for i in blocks) if len(blocks) <= 4 else ((t, t + self.blocks),):
+                a, b = self.begin[a], self.begin[b]
                 if a < b:
-                    scores[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
-            hit = np.flatnonzero(scores > 0)
-            found += [(float(scores[i]), int(block * BLOCK + i)) for i in hit if block * BLOCK + i != skip]
-            found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-        return found
+                    scores[self.example[a:b]] += w * self.weight[a:b]
+        if skip >= 0:
+            scores[skip] = 0
+        wanted = np.zeros(self.blocks, dtype=bool)
+        wanted[blocks] = True
+        rows = np.flatnonzero(scores > 0)
+        rows = rows[wanted[rows // BLOCK]]
+        if len(rows) > k:
+            rows = rows[scores[rows] >= np.partition(scores[rows], len(rows) - k)[len(rows) - k]]
+        merged = found + [(float(scores[i]), int(i)) for i in rows]
+        return sorted(merged, key=lambda x: (-x[0], x[1]))[:k]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic neighbours weighted by squared cosine, with the prior as one weak neighbour."""
@@ -181,8 +214,7 @@ def examples(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> t
              .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
     present = materialize(known.join(docs.filter("text is not null").select("doc_id"), "doc_id", "left_semi"), "labelled")
     share = present.agg(F.avg("toxic")).first()[0]
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = materialize(present.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_label).drop("place"), "chosen")
+    chosen = materialize(bounded_sample(present, "toxic", "doc_id", per_label), "chosen")
     # At most 2 * per_label ids, so the broadcast is bounded.
     texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     once = texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
