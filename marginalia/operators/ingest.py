@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from marginalia.functions import text as X, vocabulary as V
 from marginalia.functions.chunking import BLANK_LINE, chunker
-from marginalia.operators.blocks import block_of, row_numbers, salted_join
+from marginalia.operators.blocks import block_of, running_total, salted_join
 from marginalia.schemas import chunk_id
+from marginalia.session import materialize
 
 PAGE_BLOCK = 256
 
@@ -16,13 +17,18 @@ def chunk_pages(pages: DataFrame, size: int = V.CHUNK_SIZE, overlap: int = V.CHU
                 separator: str = BLANK_LINE) -> DataFrame:
     """Typed chunks of ``pages(paper_id, page_number, text)``; pages never mix.
 
-    The fold is local to a page. ``chunk_index`` numbers the chunks of a paper by page and position,
-    counted per page block, so a very long paper is not gathered in one task.
+    The fold is local to a page and runs once: each page's chunks are written as one list with their number. ``chunk_index``
+    counts them by page and position, from running sums over the pages' numbers alone, by page block, so a very long paper is
+    not gathered in one task. (paper_id, page_number) is the pages' key.
     """
     split = chunker(size, overlap, separator)
-    pieces = pages.select("paper_id", "page_number", F.posexplode(split("text")).alias("pos", "content"))
-    numbered = row_numbers(pieces.withColumn("block", block_of(F.col("page_number"), PAGE_BLOCK)),
-                           ["paper_id"], ["page_number", "pos"], "block", "chunk_index")
+    lists = pages.select("paper_id", "page_number", split("text").alias("chunks"))
+    lists = materialize(lists.withColumn("n", F.coalesce(F.size("chunks"), F.lit(0))), "chunked")
+    sizes = lists.select("paper_id", "page_number", "n").withColumn("block", block_of(F.col("page_number"), PAGE_BLOCK))
+    before = running_total(sizes, ["paper_id"], ["page_number"], "block", F.col("n"), "before").select("paper_id", "page_number", "before")
+    numbered = (lists.join(before, ["paper_id", "page_number"])
+                .select("paper_id", "page_number", "before", F.posexplode("chunks").alias("pos", "content"))
+                .withColumn("chunk_index", F.col("before") + F.col("pos")))
     return numbered.select(
         "paper_id", F.col("chunk_index").cast("int").alias("chunk_index"), chunk_id().alias("chunk_id"), "content",
         "page_number", F.lit(None).cast("string").alias("section_title"),

@@ -10,6 +10,7 @@ from marginalia.plans import tables as T
 from marginalia.plans.registry import query
 from marginalia.plans.tables import SQL
 from marginalia.schemas import chunk_id
+from marginalia.session import materialize
 
 TOKEN = "'[A-Za-z0-9]+(?:[.\\-][A-Za-z0-9]+)*%?'"
 
@@ -381,7 +382,7 @@ SELECT item_id, question_type, n_rel > 0 AS has_answer, CASE WHEN n_rel > 0 THEN
 
 def evaluation(spark, sf, k: int = 5):
     """Chunk the documents, label every passage by containment, search by BM25, score each item."""
-    chunks = ingest.chunk_pages(T.document_pages(spark, sf), separator="\n").select("paper_id", "chunk_index", "content")
+    chunks = materialize(ingest.chunk_pages(T.document_pages(spark, sf), separator="\n").select("paper_id", "chunk_index", "content"), "chunks")
     queries = T.query_table(spark, sf)
     hits = lexical.bm25_search(chunks, queries, k)
     labels = E.find_passages(queries.select(F.col("query_id").alias("passage_id"), F.col("text").alias("passage")),
