@@ -165,9 +165,9 @@ def store(records: DataFrame, path: str | None = None) -> tuple[DataFrame, DataF
     response = F.col("record_type") == "response"
     right = ~response | ((F.col("own_sha256") == F.col("sha256")) & (F.col("own_sha1") == F.col("sha1")))
     verified = checked.filter(F.when(right, True).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.coalesce("record_key", F.lit("null")))).cast("boolean")))
-    verified.drop("payload", "own_sha256", "own_sha1").write.mode("errorifexists").parquet(f"{path}/heads")
+    verified.drop("payload", "own_sha256", "own_sha1").write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/heads")
     held = checked.filter(response).select("sha256", "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.col("own_sha1").alias("payload_sha1"))
-    held.dropDuplicates(["sha256"]).write.mode("errorifexists").parquet(f"{path}/payloads")
+    held.dropDuplicates(["sha256"]).write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/payloads")
     return spark.read.parquet(f"{path}/heads"), spark.read.parquet(f"{path}/payloads")
 
 
