@@ -3,8 +3,8 @@
 Two lines are linked if one becomes the other by at most one edit of a word (substituted, inserted or deleted), or by
 none. A line's variants are the line itself and the line less any one word. Lines that share a variant less the word at
 the same place differ in that word at most, and a line equal to another's variant lacks one of its words. Variants are
-128-bit keys made of XORs of hashes of (word, place), so all variants of a line cost as much as reading it twice.
-Joining equal variants needs no pairs: each key keeps its earliest line, and every line of the key is compared with that.
+XORs of hashes of (word, place), so all variants of a line cost as much as reading it twice. Joining equal
+variants needs no pairs: each key keeps its earliest line, and every line of the key is compared with that, word by word.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marginalia.session import materialize
-from marginalia.llm.shared import BLANKS
+from marginalia.llm.shared import BLANKS, membership_filter, possible_members
 
 MIN_WORDS = 5
 
@@ -45,59 +45,76 @@ def linked_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one in five words may differ; shorter lines are compared as they are. Lines without words are layout and
     always kept. Rows that repeat a doc_id share its line numbers, and their equal lines are kept together.
     """
-    lines = split_lines(docs)
+    lines = split_lines(docs).filter("line <> ''")
     words, n = F.split("line", " "), F.col("n")
-    keyed = lines.filter("line <> ''").select(
-        "doc_id", "line_no", F.xxhash64(F.lit(1), "line").alias("k1"), F.xxhash64(F.lit(2), "line").alias("k2"), words.alias("words"), F.size(words).alias("n"))
+    keyed = lines.select("doc_id", "line_no", *_text_key(), words.alias("words"), F.size(words).alias("n"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     halved = keyed.select("k1", "k2", place.alias("place"), F.when(n >= min_words - 1, _half_keys(F.col("words"), n)).alias("halves"))
-    texts = materialize(halved.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.first("halves").alias("halves")), "lines")
+    texts = materialize(halved.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("copies")), "lines")
+    better = _links(lines, texts, min_words)
+    joined = texts.select("k1", "k2", "place", "copies").join(better, ["k1", "k2"], "left")
+    # Only lines that repeat or have an earlier neighbour need a look-up; the rest are their own first.
+    first = materialize(joined.filter("copies > 1 or earliest is not null")
+                        .select("k1", "k2", F.least("place", F.coalesce("earliest", "place")).alias("first")), "firsts")
+    every = split_lines(docs).select("doc_id", "line_no", *[F.when(F.col("line") != "", k).alias(f"k{i}") for i, k in enumerate(_text_key(), 1)])
+    changed = every.join(first, ["k1", "k2"], "left")
+    out = changed.select("doc_id", "line_no", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("first_doc_id"),
+                         F.when(F.col("first").isNull(), F.col("line_no")).otherwise(F.col("first.line_no")).alias("first_line_no"))
+    return out.withColumn("keep", F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")))
+
+
+def _text_key() -> list[Column]:
+    """128 bits that stand for a line's text."""
+    return [F.xxhash64(F.lit(1), "line").alias("k1"), F.xxhash64(F.lit(2), "line").alias("k2")]
+
+
+def _links(lines: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+    """k1, k2, earliest: the lines that have an earlier one a word edit away."""
     # Different texts with a half in common.
-    exploded = texts.filter("halves is not null").select("k1", "k2", F.explode("halves").alias("half"))
-    shared = exploded.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low <> high").select("half")
-    candidates = exploded.join(shared, "half").select("k1", "k2").distinct()
-    firsts = materialize(texts.join(candidates, ["k1", "k2"]).select("k1", "k2", "place"), "candidates")
-    where = firsts.select("k1", "k2", "place", F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").alias("line_no"))
-    wanted = (lines.filter("line <> ''").join(where, lines.doc_id.eqNullSafe(where.doc_id) & (lines.line_no == where.line_no))
-              .filter((F.xxhash64(F.lit(1), "line") == F.col("k1")) & (F.xxhash64(F.lit(2), "line") == F.col("k2")))
-              .select("k1", "k2", "place", "line").dropDuplicates(["k1", "k2"]))
-    wanted = materialize(wanted, "candidate-lines")
-    better = materialize(_verified(_shared_variants(wanted, min_words), wanted), "line-links")
-    joined = texts.select("k1", "k2", "place").join(better, ["k1", "k2"], "left")
-    first = joined.select("k1", "k2", F.least("place", F.coalesce("earliest", "place")).alias("first"))
-    changed = keyed.select("doc_id", "line_no", "k1", "k2").join(first, ["k1", "k2"])
-    blank = lines.filter("line = ''").select("doc_id", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
-    return (changed.select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
-            .unionByName(blank)
-            .withColumn("keep", F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))))
+    halves = texts.filter("halves is not null").select("k1", "k2", "place", F.explode(F.array_distinct("halves")).alias("half"))
+    # A text has each of its halves once, so a half seen twice belongs to two texts.
+    shared = materialize(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"), "shared-halves")
+    likely = possible_members(halves, F.col("half"), membership_filter(shared, "half"))
+    firsts = materialize(likely.join(shared, "half", "left_semi").select("k1", "k2", "place").distinct(), "candidates")
+    where = firsts.select("k1", "k2", "place", F.col("place.doc_id").alias("at_doc"), F.col("place.line_no").alias("at_line"), F.xxhash64("place.doc_id", "place.line_no").alias("at"))
+    near = possible_members(lines, F.xxhash64("doc_id", "line_no"), membership_filter(where, "at"))
+    wanted = near.join(where, near.doc_id.eqNullSafe(where.at_doc) & (near.line_no == where.at_line))
+    right = (F.xxhash64(F.lit(1), "line") == F.col("k1")) & (F.xxhash64(F.lit(2), "line") == F.col("k2"))
+    held = materialize(wanted.filter(right).select("k1", "k2", "place", "line").dropDuplicates(["k1", "k2"]), "candidate-lines")
+    return materialize(_verified(_shared_variants(held, min_words), held), "line-links")
 
 
 def _shared_variants(lines: DataFrame, min_words: int) -> DataFrame:
-    """k1, k2, earliest: for each line the earliest lines that share one of its variants, unverified."""
-    placed = lines.select("k1", "k2", "place", F.size(F.split("line", " ")).alias("n"), F.posexplode(F.split("line", " ")).alias("at", "word"))
-    of_line = W.partitionBy("k1", "k2")
+    """k1, k2, earliest: for each line the earliest lines that share one of its variants, unverified.
+
+    ``n`` is the number of words before one is left out, ``at`` the place of that word, -1 for a whole line.
+    """
+    placed = lines.select("place", "line").repartition("place").select("place", F.size(F.split("line", " ")).alias("words"), F.posexplode(F.split("line", " ")).alias("at", "word"))
+    of_line = W.partitionBy("place")
     run = of_line.orderBy("at")
-    columns = []
-    for seed in (1, 2):
-        here, moved = F.xxhash64(F.lit(seed), "at", "word"), F.xxhash64(F.lit(seed), F.col("at") - 1, "word")
-        before = F.coalesce(F.bit_xor(here).over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        total = F.bit_xor(moved).over(of_line)
-        upto = F.bit_xor(moved).over(run.rowsBetween(W.unboundedPreceding, 0))
-        columns.append(before.bitwiseXOR(total.bitwiseXOR(upto)).alias(f"v{seed}"))
-    less_one = placed.select("k1", "k2", "place", "n", "at", *columns)
-    whole = placed.groupBy("k1", "k2", "place", "n").agg(*[F.bit_xor(F.xxhash64(F.lit(seed), "at", "word")).alias(f"v{seed}") for seed in (1, 2)])
-    # Same place left out: a substitution. The line itself on one side: an insertion or deletion.
-    same = less_one.filter(F.col("n") >= min_words).select("k1", "k2", "place", "n", "at", "v1", "v2")
-    cut = less_one.filter(F.col("n") >= min_words).select("k1", "k2", "place", "n", F.lit(-1).alias("at"), "v1", "v2", F.lit(1).alias("side"))
-    full = whole.select("k1", "k2", "place", (F.col("n") + 1).alias("n"), F.lit(-1).alias("at"), "v1", "v2", F.lit(0).alias("side")).filter(F.col("n") >= min_words)
-    variant = ["n", "at", "v1", "v2"]
-    substituted = _with_earliest(same, same, variant)
-    return substituted.unionByName(_with_earliest(cut, full, variant)).unionByName(_with_earliest(full, cut, variant)).distinct()
+    here, moved = F.xxhash64("at", "word"), F.xxhash64(F.col("at") - 1, "word")
+    before = F.coalesce(F.bit_xor(here).over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    after = F.bit_xor(moved).over(of_line).bitwiseXOR(F.bit_xor(moved).over(run.rowsBetween(W.unboundedPreceding, 0)))
+    # One row per word left out, and one for the whole line with the last word.
+    less_one = F.struct(F.col("words").alias("n"), "at", F.col("left_out").alias("v"))
+    whole = F.struct((F.col("words") + 1).alias("n"), F.lit(-1).alias("at"), F.col("whole").alias("v"))
+    rows = placed.withColumn("left_out", before.bitwiseXOR(after)).withColumn("whole", before.bitwiseXOR(here)).select("place", F.explode(
+        F.when(F.col("at") == F.col("words") - 1, F.array(less_one, whole)).otherwise(F.array(less_one))).alias("v"))
+    variants = materialize(rows.select("place", "v.n", "v.at", "v.v").filter(F.col("n") >= min_words), "variants")
+    key = F.xxhash64("n", "v")
+    line = F.xxhash64("place")
+    several = materialize(variants.groupBy(key.alias("key")).agg(F.min(line).alias("low"), F.max(line).alias("high")).filter("low <> high").select("key"), "shared-variants")
+    likely = possible_members(variants.withColumn("key", key), F.col("key"), membership_filter(several, "key"))
+    kept = materialize(likely.join(several, "key", "left_semi").drop("key"), "variant-rows")
+    # The same place left out on both sides is a substitution; a whole line on one side, an insertion or deletion.
+    cut, full = kept.filter("at >= 0"), kept.filter("at < 0")
+    pairs = (_with_earliest(cut, cut, ["n", "v", "at"]).unionByName(_with_earliest(cut, full, ["n", "v"])).unionByName(_with_earliest(full, cut, ["n", "v"])))
+    return pairs.distinct().join(lines.select("k1", "k2", "place"), "place").select("k1", "k2", "earliest")
 
 
 def _with_earliest(lines: DataFrame, others: DataFrame, variant: list[str]) -> DataFrame:
     least = others.groupBy(*variant).agg(F.min("place").alias("earliest"))
-    return lines.select("k1", "k2", "place", *variant).join(least, variant).filter(F.col("earliest") < F.col("place")).select("k1", "k2", "earliest")
+    return lines.select("place", *variant).join(least, variant).filter(F.col("earliest") < F.col("place")).select("place", "earliest")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
