@@ -24,8 +24,10 @@ from marginalia.llm.shared import bounded_sample, training_fold
 # Bounds of the model: examples per label, terms.
 EXAMPLES = 2000
 TERMS = 4096
-# A term is kept if its document frequencies under the two labels differ by this much (chi-square, one degree of freedom).
-MIN_CHI2 = 50.0
+# A term is kept if the odds to hold it differ between the labels by this factor (half an example added to each count)
+# and so many examples of one label hold it, however many examples there are.
+MIN_ODDS = 20.0
+SUPPORT = 3
 # Besides words, their beginnings of these lengths are terms, so that inflected and compounded forms share one.
 BEGINNINGS = (4, 5)
 REPEATS = (2, 3, 5)
@@ -221,7 +223,7 @@ def examples(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES) -> t
     return materialize(once.select("doc_id", "toxic", "text"), "examples"), float(share or 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES, most_terms: int = TERMS, min_chi2: float = MIN_CHI2) -> Index:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES, most_terms: int = TERMS, min_odds: float = MIN_ODDS, support: int = SUPPORT) -> Index:
     """The index. Terms and examples are bounded by parameters; document frequencies count every document."""
     held, share = examples(docs, labels, per_label)
     sizes = {r[0]: r[1] for r in held.groupBy("toxic").count().collect()}
@@ -235,7 +237,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES, most_te
         rest = (F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))).cast("double")
         seen = (F.col("a") + F.col("b")).cast("double")
         chi2 = rest * rest * (n1 + n0) / (seen * F.greatest(n1 + n0 - seen, F.lit(0.5)) * float(n1) * float(n0))
-        terms = [r[0] for r in by_term.withColumn("chi2", chi2).filter(F.col("chi2") >= min_chi2)
+        odds = F.log((F.col("a") + 0.5) * (n0 - F.col("b") + 0.5) / ((F.col("b") + 0.5) * (n1 - F.col("a") + 0.5)))
+        telling = by_term.filter((F.greatest("a", "b") >= support) & (F.abs(odds) >= float(np.log(min_odds))))
+        # Should more than ``most_terms`` pass, those with most evidence (chi-square) stay.
+        terms = [r[0] for r in telling.withColumn("chi2", chi2)
                  .orderBy(F.desc("chi2"), "term").limit(most_terms).select("term").collect()]
     number, bases = {t: i for i, t in enumerate(terms)}, bases_of(terms)
 

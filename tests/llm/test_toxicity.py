@@ -125,3 +125,23 @@ def test_held_out_rows(spark):
     loud = [r for r in got if r.loud]
     assert len(loud) > 30 and sum(r.predicted for r in loud) >= 0.95 * len(loud)
     assert sum(r.predicted for r in plain) <= 0.01 * len(plain)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_planted_toxic_texts_in_small_tables(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.train(docs, labels)
+    clean = docs.join(labels.filter("toxic = 0 and crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"), "doc_id", "left_semi").select("doc_id", "text")
+    told = {}
+    for name, rows in (("clean", clean), ("planted", clean.withColumn("text", F.concat("text", F.lit(" You scum, moron and loser!"))))):
+        scores = [r.predicted for r in toxicity.scored(rows, index).collect()]
+        told[name] = sum(scores) / len(scores)
+    assert told["planted"] >= 0.95 and told["clean"] <= 0.02
+
+
+def test_terms_do_not_depend_on_the_number_of_examples(spark, documents):
+    kept = []
+    for n in (200, 2000):
+        rows = [(i, f"plain words {chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} {'cruel' if i % 5 == 0 and i % 25 < 5 else 'calm'}") for i in range(n)]
+        kept.append(set(toxicity.train(documents(rows), table(spark, [(i, int(i % 5 == 0)) for i in range(n)])).number))
+    assert kept[0] == kept[1] and "cruel" in kept[0]
