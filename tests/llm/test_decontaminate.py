@@ -1,5 +1,7 @@
 import random
 import re
+from itertools import combinations
+from math import ceil
 
 from pyspark.sql import functions as F
 
@@ -81,3 +83,28 @@ def test_nulls_short_texts_repeats_and_empty_tables(spark, documents):
     assert got == {(4, 5), (None, 5), (9, 5)}
     assert decontaminate.overlaps(docs.limit(0), items).count() == 0
     assert decontaminate.overlaps(docs, items.limit(0)).count() == 0
+
+
+def test_masks_fit_beside_every_admissible_substitution():
+    for width in range(decontaminate.SHORTEST, decontaminate.WINDOW + 1):
+        for changed in combinations(range(width), width - ceil(0.8 * width)):
+            assert any(all(bit == "0" or p + k not in changed for k, bit in enumerate(m)) for m in decontaminate.MASKS_OF[width]
+                       for p in range(width - len(m) + 1)), (width, changed)
+
+
+def test_every_admissible_substitution_is_found(spark, documents):
+    """Each item alone is a document too, and so is each way to change as many of its tokens as the similarity admits."""
+    items, docs, want = [], [], set()
+    for width in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13):
+        words = [f"w{width}n{i}" for i in range(width)]
+        items.append((width, " ".join(words)))
+        docs.append((1000 * width, " ".join(words)))
+        want.add((1000 * width, width))
+        few = width - ceil(0.8 * width)
+        for n, changed in enumerate(combinations(range(width), few)):
+            docs.append((1000 * width + n + 1, "before " + " ".join("x" if i in changed else w for i, w in enumerate(words)) + " after"))
+            want.add((1000 * width + n + 1, width))
+        if few:
+            docs.append((1000 * width + 900, " ".join("x" if i <= few else w for i, w in enumerate(words))))
+    got = decontaminate.overlaps(documents(docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
