@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import counts, decontaminate, language, lines, mixing, neighbours, sharding, simhash, toxicity, warc
+from marginalia.llm import counts, decontaminate, language, lines, mixing, neighbours, resample, sharding, simhash, toxicity, warc
 from marginalia.llm.shared import training_fold
 from marginalia.session import checkpoint_root, ship_package
 
@@ -122,3 +122,8 @@ def op10_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
     token_batches(rollup, table(spark, sf, "documents"), {
         "words-1": counts.white_space_words, "byte_bpe_50k": counts.byte_pairs(f"{counts.TOKENIZERS}/byte_bpe_50k.tiktoken", pattern)})
     return rollup.totals()
+
+
+@query(resample.SQL)
+def op12_target_resample(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
