@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import counts, decontaminate, language, lines, mixing, neighbours, resample, sharding, simhash, toxicity, warc
+from marginalia.llm import align, counts, decontaminate, language, lines, mixing, neighbours, resample, sharding, simhash, toxicity, warc
 from marginalia.llm.shared import training_fold
 from marginalia.session import checkpoint_root, ship_package
 
@@ -124,6 +124,11 @@ def op10_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.totals()
 
 
+@query()
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return align.aligned(table(spark, sf, "documents"))
+
+
 @query(resample.SQL)
 def op12_target_resample(spark: SparkSession, sf: str) -> DataFrame:
     return resample.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

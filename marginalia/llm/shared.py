@@ -60,3 +60,17 @@ def possible_members(rows: DataFrame, key: Column, found: DataFrame) -> DataFram
     byte = F.conv(F.hex(F.substring(F.col("filter_bits"), F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     joined = rows.join(F.broadcast(found), F.floor(place / _FILTER_ROW).cast("int") == F.col("filter_row"))
     return joined.filter(F.getbit(byte, inside % 8) == 1).drop("filter_row", "filter_bits")
+
+
+def heavy_threshold(rows: DataFrame, count: str, most: int) -> int:
+    """The least number such that at most ``most`` rows have that count or more. Reads the distribution only: some 4 000 rows."""
+    exact = 1 << 12
+    step = F.when(F.col(count) < exact, F.col(count)).otherwise(F.expr(f"shiftleft(1L, length(bin({count})) - 1)"))
+    sizes = sorted(rows.groupBy(step.cast("bigint").alias("least")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    held, least = 0, (sizes[0][0] * 2 if sizes else 0)
+    for at, n in sizes:
+        held += n
+        if held > most:
+            break
+        least = at
+    return least
