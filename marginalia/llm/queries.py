@@ -8,7 +8,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import align, counts, decontaminate, language, lines, mixing, neighbours, resample, sharding, simhash, toxicity, warc
+from marginalia.llm import align, counts, decontaminate, language, lines, mixing, neighbours, pieces, resample, sharding, simhash, toxicity, warc
 from marginalia.llm.shared import training_fold
 from marginalia.session import checkpoint_root, ship_package
 
@@ -132,3 +132,10 @@ def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
 @query(resample.SQL)
 def op12_target_resample(spark: SparkSession, sf: str) -> DataFrame:
     return resample.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op13_piece_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    found = pieces.encoded(table(spark, sf, "documents"))
+    return found.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
