@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -90,6 +91,47 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables needed only until a job's result is written, below one folder that goes when the block ends.
+
+    ``write`` is :func:`materialize` with an end; ``drop`` removes tables whose readers are done. What outlives the block
+    must have been written elsewhere. After an exception the folder goes too.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+        self.path = os.path.join(checkpoint_root(spark), "marginalia", f"scratch-{uuid.uuid4().hex}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self._delete(self.path)
+        release(self.spark)
+
+    def write(self, df: DataFrame, label: str = "table") -> DataFrame:
+        path = f"{self.path}/{label}-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(path)
+        self.held.setdefault(label, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            for path in self.held.pop(label, []):
+                self._delete(path)
+        release(self.spark)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished jobs: Spark removes their shuffle files once the driver has collected its references to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that has fewer splits than cores; large scans pass through."""
     cores = df.sparkSession.sparkContext.defaultParallelism
