@@ -3,8 +3,9 @@
 The library writes a text as its spaces turned into markers, one put before it. A model none of whose pieces has a marker
 after another character cannot join across the start of a marked word, nor across a character that no longer piece holds; so a
 text's ids are those of its words in order. Spark counts the distinct words of the corpus, each is segmented (and decoded
-back) once, and the ids return to the texts by position: words that occur often come from a broadcast table of bounded size, the
-others are joined by word and then by text.
+back) once, and the ids return to the texts by position. The table of the words that occur most is of bounded size and goes to
+every executor; each slice of documents makes a table of its own for its other words. Joining those corpus-wide as well
+was built and measured: it moves every text once and every rare word twice, above the disk this may take.
 """
 
 from __future__ import annotations
@@ -19,16 +20,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.llm.counts import TOKENIZERS
 from marginalia.llm.shared import heavy_threshold
-from marginalia.session import materialize
+from marginalia.session import Scratch
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 MARK = "▁"
 # Words that are sent to every executor, and the longest of them.
 HEAD_WORDS = 400_000
 HEAD_BYTES = 256
-# Words the library segments in one call, and texts in a batch of results.
+# Words the library segments in one call, and characters of the documents that share a table of their other words.
 SEGMENT = 20_000
-OUT_ROWS = 1000
+SLICE_CHARS = 4 << 20
 
 
 class Model:
@@ -85,7 +86,7 @@ def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
 
 
 def word_table(counts: DataFrame, shared) -> DataFrame:
-    """word, n, ids, restored: every distinct word segmented once. ``restored`` is null where decoding gives the word with spaces for markers."""
+    """word, n, ids, restored: every word of the table segmented once. ``restored`` is null where decoding gives the word with spaces for markers."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value.file)
         for batch in batches:
@@ -99,22 +100,16 @@ def word_table(counts: DataFrame, shared) -> DataFrame:
     return counts.select("word", "n").mapInArrow(each, "word string, n bigint, ids binary, restored string")
 
 
-def _assembler(model: Model):
-    """Of a marked text, the table of its words and the rest by position: the ids as bytes, and the decoded text."""
-    find = re.compile(model.pattern).findall
-    begin, end = packed_ids([model.library.bos_id()]), packed_ids([model.library.eos_id()])
-
-    def assembled(text: str, ids_of: dict, restored: dict, rare: list[dict]) -> tuple[bytes, str]:
-        words = find(text)
-        ids = [ids_of.get(w) for w in words]
-        changed = {i: restored[w] for i, w in enumerate(words) if w in restored} if restored else {}
-        for r in rare:
-            ids[r["at"]] = r["ids"]
-            if r["restored"] is not None:
-                changed[r["at"]] = r["restored"]
-        decoded = "".join(changed.get(i, w.replace(MARK, " ")) for i, w in enumerate(words)) if changed else text.replace(MARK, " ")
-        return b"".join([begin, *ids, end]), decoded[1:]
-    return assembled
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about SLICE_CHARS characters; a longer text is one of its own."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= SLICE_CHARS:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS, path: str = MODEL) -> DataFrame:
@@ -128,63 +123,39 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", head_words
         held = file.read()
     model = Model(held)
     shared = spark.sparkContext.broadcast(_Shared(held, model.pattern))
-    table = materialize(word_table(word_counts(docs, model.pattern, text), shared), "words")
-    least = heavy_threshold(table, "n", head_words)
-    common = (F.col("n") >= least) & (F.octet_length("word") <= HEAD_BYTES)
-    head = table.filter(common).select("word", "ids", "restored").toPandas()  # at most head_words rows of HEAD_BYTES and their ids
-    common_words = spark.sparkContext.broadcast((dict(zip(head["word"], map(bytes, head["ids"]))), {w: r for w, r in zip(head["word"], head["restored"]) if r is not None}))
+    with Scratch(spark) as scratch:
+        counts = scratch.write(word_counts(docs, model.pattern, text), "words")
+        least = heavy_threshold(counts, "n", head_words)
+        table = word_table(counts.filter((F.col("n") >= least) & (F.octet_length("word") <= HEAD_BYTES)), shared)
+        head = table.select("word", "ids", "restored").toPandas()  # at most head_words rows of HEAD_BYTES and their ids
+    common = spark.sparkContext.broadcast((dict(zip(head["word"], map(bytes, head["ids"]))), {w: r for w, r in zip(head["word"], head["restored"]) if r is not None}))
     kind = dict((f.name, f.dataType.simpleString()) for f in docs.schema.fields)[key]
-    result = f"key {kind}, ids binary, decoded string"
-    keyed = docs.select(F.col(key).alias("key"), F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2"), marked(text).alias("marked"))
-    others = table.filter(~common).select("word", "ids", "restored")
-    if others.isEmpty():
-        return _joined(keyed.select("key", "marked", F.lit(None).cast(_RARE).alias("rare")), shared, common_words, result, False).withColumnRenamed("key", key)
-    packed = _packed(keyed, shared, common_words, kind)
-    # A word in many texts is among the common ones, so few rows meet on one word or text here.
-    rare = packed.select("k1", "k2", F.explode("rare").alias("r")).select("k1", "k2", F.col("r.at").alias("at"), F.col("r.word").alias("word"))
-    by_text = rare.join(others, "word").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("at", "ids", "restored"))).alias("rare"))
-    joined = packed.select("key", "k1", "k2", "marked").join(by_text, ["k1", "k2"], "left").select("key", "marked", "rare")
-    return _joined(joined, shared, common_words, result, True).withColumnRenamed("key", key)
-
-
-_RARE = "array<struct<at: int, ids: binary, restored: string>>"
-
-
-def _packed(keyed: DataFrame, shared, common_words, kind: str) -> DataFrame:
-    """key, k1, k2, marked (compressed), rare: the words that are not common, with their positions.
 
-    Texts without such words have nothing to join; their keys become the row's own, so that copies do not meet in one task.
-    """
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        compress, find, known = zstandard.ZstdCompressor(level=3).compress, re.compile(shared.value.pattern).findall, common_words.value[0]
-        number = 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, OUT_ROWS):
-                part = batch.slice(start, OUT_ROWS)
-                texts = part.column(3).to_pylist()
-                rare = [[{"at": i, "word": w} for i, w in enumerate(find(t)) if w not in known] for t in texts]
-                k1, k2 = part.column(1).to_pylist(), part.column(2).to_pylist()
-                for i, r in enumerate(rare):
-                    if not r:
-                        number += 1
-                        k1[i], k2[i] = None, number
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary()),
-                     pa.array(rare, pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))], names=["key", "k1", "k2", "marked", "rare"])
-    return keyed.mapInArrow(each, f"key {kind}, k1 bigint, k2 bigint, marked binary, rare array<struct<at: int, word: string>>")
-
-
-def _joined(rows: DataFrame, shared, common_words, result: str, compressed: bool) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        expand, assembled = zstandard.ZstdDecompressor().decompress, _assembler(Model(shared.value.file))
-        ids_of, restored = common_words.value
+        model = Model(shared.value.file)
+        find = re.compile(model.pattern).findall
+        begin, end = packed_ids([model.library.bos_id()]), packed_ids([model.library.eos_id()])
+        common_ids, common_restored = common.value
         for batch in batches:
-            for start in range(0, batch.num_rows, OUT_ROWS):
-                part = batch.slice(start, OUT_ROWS)
-                texts = [expand(t).decode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()] if compressed else part.column(1).to_pylist()
-                found = [assembled(t, ids_of, restored, r or []) for t, r in zip(texts, part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i for i, _ in found], pa.binary()), pa.array([d for _, d in found], pa.string())],
+            texts = batch.column(1).to_pylist()
+            for i, j in slices(texts):
+                words = [find(t) for t in texts[i:j]]
+                rest = list({w for found in words for w in found if w not in common_ids})
+                ids_of, restored = {}, {}
+                for at in range(0, len(rest), SEGMENT):
+                    part = rest[at:at + SEGMENT]
+                    ids = model.segment(part)
+                    ids_of.update(zip(part, map(packed_ids, ids)))
+                    restored.update((w, r) for w, r in zip(part, model.restored(part, ids)) if r != w.replace(MARK, " "))
+                out = []
+                for t, found in zip(texts[i:j], words):
+                    ids = b"".join([begin, *[common_ids.get(w) or ids_of[w] for w in found], end])
+                    if common_restored or restored:
+                        decoded = "".join([common_restored.get(w) or restored.get(w) or w.replace(MARK, " ") for w in found])
+                    else:
+                        decoded = t.replace(MARK, " ")
+                    out.append((ids, decoded[1:]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x for x, _ in out], pa.binary()), pa.array([d for _, d in out], pa.string())],
                                                  names=["key", "ids", "decoded"])
-    return rows.mapInArrow(each, result)
+
+    return docs.select(F.col(key).alias("key"), marked(text)).mapInArrow(each, f"key {kind}, ids binary, decoded string").withColumnRenamed("key", key)
