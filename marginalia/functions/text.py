@@ -100,6 +100,12 @@ def keyword_query(col: Column) -> Column:
     return F.array_distinct(words(F.regexp_replace(col, V.KEYWORD_SPECIAL, " ")))
 
 
+def keyword_phrases(col: Column) -> Column:
+    """Sanitised keyword query as an array of AND-ed phrases: the words of each token, which must stand side by side."""
+    tokens = white_tokens(F.regexp_replace(F.coalesce(col, F.lit("")), V.KEYWORD_SPECIAL, " "))
+    return F.array_distinct(F.filter(F.transform(tokens, lambda t: words(t)), lambda p: F.size(p) > 0))
+
+
 # Identifiers ---------------------------------------------------------------------------------
 
 def first_doi(col: Column) -> Column:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from marginalia.functions import scoring as S, text as X, vocabulary as V
+from marginalia.operators import phrases
 from marginalia.operators.blocks import block_of
 from marginalia.schemas import chunk_id
 from marginalia.session import bounded_rows, materialize
@@ -317,11 +318,15 @@ def keyword_scores(docs: DataFrame, terms: DataFrame, k1: float, b: float) -> Da
 
 def keyword_search(papers: DataFrame, queries: DataFrame, k: int = 20, k1: float = V.BM25_K1,
                    b: float = V.KEYWORD_B, max_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """Paper search: every query word must occur in title, authors or abstract; BM25 order.
+    """Paper search: every query word must occur in title, authors or abstract, and the words of a token with a separator
+    inside side by side in one of them; BM25 order.
 
-    Returns paper-level hits with score 0.0, content = abstract or title. A word in more than half of the
+    Queries of single words only take the cheaper word plans. Returns paper-level hits with score 0.0, content = abstract or title. A word in more than half of the
     papers keeps a tiny positive weight.
     """
+    phrased = F.exists(X.keyword_phrases(F.col("text")), lambda p: F.size(p) > 1)
+    together = materialize(phrases.query_phrases(queries.filter(phrased)), "phrases")
+    queries = queries.filter(~phrased)
     terms = queries.select("query_id", F.explode(X.keyword_query(F.col("text"))).alias("term"))
     docs = papers.select(F.col("id").alias("paper_id"), X.words(
         F.concat_ws(" ", "title", "authors", "abstract")).alias("tokens"))
@@ -332,6 +337,8 @@ def keyword_search(papers: DataFrame, queries: DataFrame, k: int = 20, k1: float
         odds = lambda n, df: max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
         matched = _score_batches(rows, terms, k, k1, b, odds, HITS.format(
             q=terms.schema["query_id"].dataType.simpleString()), all_terms=True)
+    if not together.isEmpty():
+        matched = matched.select("query_id", "paper_id", "score").unionByName(phrases.phrase_scores(papers, together, k1, b))
     window = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("paper_id").asc())
     best = matched.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
     best = materialize(best.select("query_id", "rank", "paper_id"), "winners")  # few rows of known size, joined to the texts last

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X, vectors as VX, vocabulary as V
-from marginalia.operators import evaluate as E, fusion, ingest, lexical, retrieve as R, vector
+from marginalia.operators import evaluate as E, fusion, ingest, lexical, phrases, retrieve as R, vector
 from marginalia.plans import tables as T
 from marginalia.plans.registry import query
 from marginalia.plans.tables import SQL
@@ -105,7 +105,7 @@ SQL["kw_docs"] = """
 SELECT id AS paper_id, regexp_extract_all(strip_accents(lower(concat_ws(' ', title, authors, abstract))), '[\\p{L}\\p{N}]+') AS toks
 FROM document_papers"""
 SQL["kw_terms"] = """
-SELECT query_id, unnest(list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'))) AS term FROM short_queries"""
+SELECT query_id, unnest(list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'))) AS term FROM query_table"""
 SQL["kw_post"] = """
 SELECT paper_id, dl, term, count(*) AS tf FROM (SELECT paper_id, len(toks) AS dl, unnest(toks) AS term FROM kw_docs) GROUP BY ALL"""
 SQL["kw_scored"] = """
@@ -124,10 +124,57 @@ SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, r.paper_id, p.title, p.autho
        coalesce(nullif(p.abstract, ''), p.title, '') AS content, 'keyword' AS source
 FROM kw_ranked r JOIN document_papers p ON p.id = r.paper_id WHERE r.rank <= 20""")
 def keyword_and_search(spark, sf):
-    hits = lexical.keyword_search(T.document_papers(spark, sf), T.short_queries(spark, sf), 20)
+    hits = lexical.keyword_search(T.document_papers(spark, sf), T.query_table(spark, sf), 20)
     return hits.select("query_id", "rank", "paper_id", "title", "authors", "year", "content", "source")
 
 
+# Phrases: positions of words, and where the differences of position and offset agree.
+SQL["ph_lists"] = """
+SELECT query_id, list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '["*^:()@~<>$\\|+=\\[\\]{}!?,.;#%&/-]', ' ', 'g'), '\\s+'),
+                                             lambda t: regexp_extract_all(strip_accents(lower(t)), '[\\p{L}\\p{N}]+')), lambda p: len(p) > 0)) AS phrases FROM phrase_queries"""
+SQL["ph_query"] = "SELECT query_id, unnest(phrases) AS words FROM ph_lists"
+SQL["ph_parts"] = "SELECT words, len(words) AS n, unnest(range(len(words))) AS off, unnest(words) AS term FROM (SELECT DISTINCT words FROM ph_query)"
+SQL["ph_fields"] = """
+SELECT id AS paper_id, field, regexp_extract_all(strip_accents(lower(coalesce(value, ''))), '[\\p{L}\\p{N}]+') AS toks
+FROM (SELECT id, unnest([0, 1, 2]) AS field, unnest([title, authors, abstract]) AS value FROM document_papers)"""
+SQL["ph_positions"] = "SELECT paper_id, field, unnest(range(len(toks))) AS pos, unnest(toks) AS term FROM ph_fields"
+SQL["ph_counts"] = """
+SELECT words, paper_id, count(*) AS tf FROM (
+  SELECT words, n, paper_id, field, pos - off AS start, count(*) AS k FROM ph_parts JOIN ph_positions USING (term) GROUP BY ALL) WHERE k = n GROUP BY ALL"""
+SQL["ph_scored"] = """
+SELECT q.query_id, c.paper_id, count(*) AS found,
+       sum(greatest(CASE WHEN d.df * 2 >= s.n THEN 1e-6 ELSE ln((s.n - d.df + 0.5) / (d.df + 0.5)) END, 1e-6)
+           * (c.tf * 2.2) / (c.tf + 1.2 * (0.25 + 0.75 * l.dl / s.a))) AS score
+FROM ph_query q JOIN ph_counts c USING (words) JOIN (SELECT words, count(*) AS df FROM ph_counts GROUP BY 1) d USING (words)
+JOIN (SELECT paper_id, sum(len(toks)) AS dl FROM ph_fields GROUP BY 1) l USING (paper_id)
+CROSS JOIN (SELECT count(DISTINCT paper_id) AS n, sum(len(toks)) / count(DISTINCT paper_id) AS a FROM ph_fields) s GROUP BY q.query_id, c.paper_id"""
+
+
+@query("phrase_and_search", """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, paper_id FROM (
+  SELECT s.query_id, s.paper_id, row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.score, 9) DESC, s.paper_id) AS rank
+  FROM ph_scored s JOIN ph_lists t ON s.query_id = t.query_id AND s.found = len(t.phrases)) WHERE rank <= 20""")
+def phrase_and_search(spark, sf):
+    """Whole passages as phrases of three words each; papers that hold all phrases."""
+    return lexical.keyword_search(T.document_papers(spark, sf), T.phrase_queries(spark, sf), 20).select("query_id", "rank", "paper_id")
+
+
+@query("phrase_occurrences", """
+SELECT array_to_string(words, ' ') AS phrase, paper_id, CAST(tf AS BIGINT) AS tf FROM ph_counts""")
+def phrase_occurrences(spark, sf):
+    """Places of every phrase of the passages in all papers, as their whole texts hold them."""
+    wanted = phrases.query_phrases(T.phrase_queries(spark, sf)).select("phrase", "words").distinct()
+    return phrases.phrase_counts(T.document_papers(spark, sf), wanted)
+
+
+@query("sanitized_phrases", """
+SELECT query_id, CAST(len(phrases) AS BIGINT) AS n_phrases, array_to_string(list_sort(list_transform(phrases, lambda p: array_to_string(p, ' '))), ' + ') AS phrases FROM ph_lists""")
+def sanitized_phrases(spark, sf):
+    q = T.phrase_queries(spark, sf).select("query_id", X.keyword_phrases(F.col("text")).alias("p"))
+    return q.select("query_id", F.size("p").cast("bigint").alias("n_phrases"),
+                    F.array_join(F.array_sort(F.transform("p", lambda p: F.array_join(p, " "))), " + ").alias("phrases"))
+
+
 @query("technical_tokens", f"""
 SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(len(list_distinct(toks)) AS BIGINT) AS n_distinct,
        md5(coalesce(array_to_string(toks, ' '), '')) AS tokens_hash
@@ -142,9 +189,9 @@ def technical_tokens(spark, sf):
 
 @query("sanitized_queries", """
 SELECT query_id, CAST(len(t) AS BIGINT) AS n_terms, array_to_string(t, ' ') AS terms FROM (
-  SELECT query_id, list_filter(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) > 0) AS t FROM short_queries)""")
+  SELECT query_id, list_filter(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) > 0) AS t FROM query_table)""")
 def sanitized_queries(spark, sf):
-    q = T.short_queries(spark, sf).select("query_id", X.words(F.regexp_replace("text", V.KEYWORD_SPECIAL, " ")).alias("t"))
+    q = T.query_table(spark, sf).select("query_id", X.words(F.regexp_replace("text", V.KEYWORD_SPECIAL, " ")).alias("t"))
     return q.select("query_id", F.size("t").cast("bigint").alias("n_terms"), F.array_join("t", " ").alias("terms"))
 
 
@@ -262,7 +309,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, paper_id, 'hybrid' AS source FRO
 WHERE rank <= 10""")
 def hybrid_search(spark, sf):
     """Vector queries that have a keyword text use both lists; the others the semantic list alone."""
-    texts = T.short_queries(spark, sf)
+    texts = T.query_table(spark, sf)
     queries = T.vector_queries(spark, sf).drop("text").join(texts, "query_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     out = R.hybrid_papers(queries, T.document_papers(spark, sf), T.vector_table(spark, sf), 10)
     return out.select("query_id", "rank", "paper_id", "source")
@@ -274,7 +321,7 @@ UNION ALL SELECT query_id, CAST(rank AS INTEGER) AS rank, paper_id, 'semantic' A
 def one_flag_search(spark, sf):
     """Library search with one of the two lists switched off: the other is cut to the requested size."""
     papers, vectors = T.document_papers(spark, sf), T.vector_table(spark, sf)
-    keyword = R.hybrid_papers(T.short_queries(spark, sf), papers, vectors, 10, use_semantic=False)
+    keyword = R.hybrid_papers(T.query_table(spark, sf), papers, vectors, 10, use_semantic=False)
     semantic = R.hybrid_papers(T.vector_queries(spark, sf), papers, vectors, 10, use_keyword=False)
     cols = ["query_id", "rank", "paper_id", "source"]
     return keyword.select(cols).unionByName(semantic.select(cols))

@@ -84,15 +84,16 @@ def query_table(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def short_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Two inner words of every passage, as a keyword query."""
+def phrase_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every passage as a keyword query whose blanks are underscores but for each third one: phrases of three words."""
     words = F.split("text", " ")
-    return query_table(spark, sf).select("query_id", F.concat_ws(" ", words[1], words[2]).alias("text"))
+    joined = F.array_join(F.transform(words, lambda w, i: F.concat(w, F.when(i % 3 == 2, " ").otherwise("_"))), "")
+    return query_table(spark, sf).select("query_id", joined.alias("text"))
 
 
 SQL["query_table"] = "SELECT item_id AS query_id, text FROM benchmark"
-SQL["short_queries"] = """
-SELECT item_id AS query_id, string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3] AS text FROM benchmark"""
+SQL["phrase_queries"] = """
+SELECT item_id AS query_id, array_to_string(list_transform(string_split(text, ' '), lambda w, i: w || CASE WHEN i % 3 = 0 THEN ' ' ELSE '_' END), '') AS text FROM benchmark"""
 
 
 def document_papers(spark: SparkSession, sf: str) -> DataFrame:
