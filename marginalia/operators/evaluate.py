@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marginalia.functions import answers as A, metrics as M, text as X, vocabulary as V
+from marginalia.operators.quotes import quote_hits
 from marginalia.operators.blocks import salted_join
 from marginalia.schemas import chunk_id
 from marginalia.session import cut_lineage, materialize
@@ -58,17 +59,10 @@ def resolve_quotes(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """Evidence ``(evidence_id, paper_id, quote)`` to the chunk that holds the quote.
 
     Counts exact non-overlapping occurrences over all chunks of the paper. ``status`` is ``ok`` for
-    exactly one, else ``missing`` or ``multiple``. The chunk side keeps its rows where they are
-    spread by salt; only counts per evidence are shuffled.
+    exactly one, else ``missing`` or ``multiple``. See :func:`quotes.quote_hits` for the join.
     """
-    quotes = evidence.select("evidence_id", "paper_id", X.strip(F.col("quote")).alias("quote"))
-    by_paper = quotes.groupBy("paper_id").agg(F.collect_set(F.struct("evidence_id", "quote")).alias("qs"))
-    hits = (salted_join(chunks.select("paper_id", "chunk_index", "content"), by_paper, ["paper_id"],
-                        spread_by=["chunk_index"])
-            .select("paper_id", "chunk_index", "content", F.explode("qs").alias("q"))
-            .filter(F.contains("content", F.col("q.quote")))
-            .select("q.evidence_id", "paper_id", "chunk_index",
-                    X.occurrences(F.col("content"), F.col("q.quote")).alias("n")))
+    asked = evidence.select(F.col("evidence_id").alias("quote_id"), "paper_id", X.strip(F.col("quote")).alias("quote"))
+    hits = quote_hits(asked, chunks).withColumnRenamed("quote_id", "evidence_id")
     counts = hits.groupBy("evidence_id").agg(F.sum("n").alias("n"), F.min("chunk_index").alias("chunk_index"))
     joined = evidence.join(counts, "evidence_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     status = F.when(F.col("n") == 1, "ok").when(F.col("n") == 0, "missing").otherwise("multiple")
@@ -117,17 +111,25 @@ def locator_scores(locators: DataFrame, chunks: DataFrame) -> DataFrame:
         "qa_id", "paper_id", F.lower(X.strip(F.coalesce("section", F.lit("")))).alias("section"),
         F.filter(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.lower(X.strip(k))),
                  lambda k: F.length(k) > 0).alias("keywords"))
-    by_paper = loc.groupBy("paper_id").agg(F.collect_set(F.struct("qa_id", "section", "keywords")).alias("ls"))
-    title, content = F.lower(F.coalesce("section_title", F.lit(""))), F.lower(F.coalesce("content", F.lit("")))
-    joined = (salted_join(chunks.select("paper_id", "chunk_index", title.alias("t"), content.alias("c")), by_paper,
-                          ["paper_id"], spread_by=["chunk_index"])
-              .select("paper_id", "chunk_index", "t", "c", F.explode("ls").alias("l")))
-    has = F.length("l.section") > 0
-    score = (F.when(has & F.contains("t", F.col("l.section")), 2).otherwise(0)
-             + F.when(has & F.contains("c", F.col("l.section")), 1).otherwise(0)
-             + F.size(F.filter("l.keywords", lambda k: F.contains(F.col("c"), k))))
-    best = (joined.select(F.col("l.qa_id").alias("qa_id"), "paper_id", "chunk_index", score.alias("score"))
-            .filter(F.col("score") > 0).groupBy("qa_id", "paper_id", "chunk_index").agg(F.max("score").alias("score")))
+    loc = materialize(loc.withColumn("locator", F.monotonically_increasing_id()), "locators")
+    # Every word asked for once per paper, then brought back to the locators that ask for it.
+    sections = loc.filter(F.length("section") > 0).select("locator", "qa_id", "paper_id", F.col("section").alias("quote"), F.lit(1).alias("times"))
+    keywords = loc.select("locator", "qa_id", "paper_id", F.explode("keywords").alias("quote")).groupBy("locator", "qa_id", "paper_id", "quote").agg(
+        F.count(F.lit(1)).cast("int").alias("times"))
+    lowered = chunks.select("paper_id", "chunk_index", F.lower("content").alias("content"), F.lower("section_title").alias("title"))
+    titles = lowered.filter(F.length("title") > 0).select("paper_id", "title").distinct().withColumn("chunk_index", F.xxhash64("title"))
+
+    def held(asked: DataFrame, texts: DataFrame) -> DataFrame:
+        asked = asked.withColumn("quote_id", F.sha2("quote", 256))
+        hits = quote_hits(asked.select("quote_id", "paper_id", "quote").distinct(), texts)
+        return asked.join(hits.select("quote_id", "paper_id", "chunk_index"), ["quote_id", "paper_id"]).select("locator", "qa_id", "paper_id", "chunk_index", "times")
+
+    in_title = held(sections, titles.withColumnRenamed("title", "content")).withColumnRenamed("chunk_index", "title_key")
+    titled = lowered.select("paper_id", "chunk_index", F.xxhash64("title").alias("title_key")).join(in_title, ["paper_id", "title_key"]).select(
+        "locator", "qa_id", "paper_id", "chunk_index", F.lit(2).alias("times"))
+    points = titled.unionByName(held(sections.unionByName(keywords), lowered))
+    best = (points.groupBy("locator", "qa_id", "paper_id", "chunk_index").agg(F.sum("times").alias("score"))
+            .groupBy("qa_id", "paper_id", "chunk_index").agg(F.max("score").cast("int").alias("score")))
     return best.withColumn("chunk_id", chunk_id())
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from marginalia.functions import answers as A, text as X, vocabulary as V
-from marginalia.operators.blocks import block_of, row_numbers, salted_join
+from marginalia.operators.blocks import block_of, row_numbers
+from marginalia.operators.quotes import quote_hits
 
 MATERIAL_CHARS = 9000
 ITEM = ("STRUCT<question: STRING, ground_truth: STRING, question_type: STRING, evidence_quote: STRING,"
@@ -69,12 +70,9 @@ def _well_formed(items: DataFrame) -> DataFrame:
 
 def quote_counts(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """Exact occurrences of each item's quote over the chunks of its paper: ``(paper_id, pos, n)``."""
-    quotes = items.select("paper_id", F.struct("pos", X.strip(F.col("evidence_quote")).alias("quote")).alias("q"))
-    by_paper = quotes.filter(F.length("q.quote") > 0).groupBy("paper_id").agg(F.collect_set("q").alias("qs"))
-    found = (salted_join(chunks.select("paper_id", "chunk_index", "content"), by_paper, ["paper_id"], spread_by=["chunk_index"])
-             .select("paper_id", "content", F.explode("qs").alias("q")).filter(F.contains("content", F.col("q.quote"))))
-    return found.groupBy("paper_id", F.col("q.pos").alias("pos")).agg(
-        F.sum(X.occurrences(F.col("content"), F.col("q.quote"))).alias("n"))
+    asked = items.select(F.col("pos").alias("quote_id"), "paper_id", X.strip(F.col("evidence_quote")).alias("quote"))
+    hits = quote_hits(asked, chunks)
+    return hits.groupBy("paper_id", F.col("quote_id").alias("pos")).agg(F.sum("n").alias("n"))
 
 
 def accepted_by_quote(items: DataFrame, chunks: DataFrame, paper_uids: DataFrame) -> DataFrame:

@@ -392,21 +392,22 @@ def evidence_papers(spark, sf):
 
 
 SQL["locators"] = """
-SELECT 'qa' || item_id AS qa_id, item_id AS paper_id, lower(string_split(text, ' ')[1]) AS section,
-       list_transform([string_split(text, ' ')[2], string_split(text, ' ')[3], 'the'], lambda k: lower(k)) AS keywords FROM benchmark"""
+SELECT 'qa' || item_id AS qa_id, item_id AS paper_id, CASE WHEN item_id % 2 = 0 THEN lower(text) ELSE 'the' END AS section,
+       list_transform(string_split(text, ' '), lambda k: lower(k)) AS keywords FROM benchmark"""
 
 
 @query("locator_scores", """
 SELECT qa_id, chunk_id, CAST(score AS INTEGER) AS score FROM (
   SELECT l.qa_id, 'p' || c.paper_id || '_c' || c.chunk_index AS chunk_id,
-         CASE WHEN contains(lower(c.content), l.section) THEN 1 ELSE 0 END + len(list_filter(l.keywords, lambda k: contains(lower(c.content), k))) AS score
+         CASE WHEN c.chunk_index % 3 = 0 AND contains(lower(c.content), l.section) THEN 2 ELSE 0 END
+         + CASE WHEN contains(lower(c.content), l.section) THEN 1 ELSE 0 END + len(list_filter(l.keywords, lambda k: contains(lower(c.content), k))) AS score
   FROM locators l JOIN line_chunks c ON c.paper_id = l.paper_id) WHERE score > 0""")
 def locator_scores(spark, sf):
-    w = F.split("text", " ")
+    """Locators with all words of a passage as keywords and the passage or one word as section; every third chunk has its text as section title."""
     loc = T.table(spark, sf, "benchmark").select(
         F.concat(F.lit("qa"), F.col("item_id").cast("string")).alias("qa_id"), F.col("item_id").alias("paper_id"),
-        w[0].alias("section"), F.array(w[1], w[2], F.lit("the")).alias("keywords"))
-    chunks = T.line_chunks(spark, sf).withColumn("section_title", F.lit(None).cast("string"))
+        F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise("the").alias("section"), F.split("text", " ").alias("keywords"))
+    chunks = T.line_chunks(spark, sf).withColumn("section_title", F.when(F.col("chunk_index") % 3 == 0, F.col("content")))
     return E.locator_scores(loc, chunks).select("qa_id", "chunk_id", "score")
 
 

@@ -493,9 +493,9 @@ def _reference_texts(spark, sf):
     """Documents that end in a reference list: the cited titles are first lines of other documents,
     some shortened, one quoted; the list is derived from the line items."""
     docs = T.spread(T.table(spark, sf, "documents").select("doc_id", "text"))
-    titles = docs.select(F.col("doc_id").alias("cited"), X.collapse(F.left(F.split("text", "\n")[0], F.lit(90))).alias("t"))
+    titles = docs.select(F.col("doc_id").alias("cited"), X.collapse(F.split("text", "\n")[0]).alias("t"))
     li = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("cited")).distinct()
-    spoiled = F.when(F.col("cited") % 3 == 0, F.substring("t", 3, 200)).otherwise(F.col("t"))
+    spoiled = F.when(F.col("cited") % 3 == 0, F.substr("t", F.lit(3))).otherwise(F.col("t"))
     refs = (li.join(titles, "cited").filter(F.length("t") >= 12)
             .select("doc_id", "cited", F.concat(F.lit('] Anon. "'), F.regexp_replace(spoiled, '["“”「」]', ""), F.lit('", 2020.')).alias("e"))
             .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cited", "e"))).alias("es")))
@@ -506,7 +506,7 @@ def _reference_texts(spark, sf):
 
 @query("reference_entries", """
 SELECT doc_id AS paper_id, CAST(count(*) AS BIGINT) AS n FROM (
-  SELECT DISTINCT l_orderkey AS doc_id, l_partkey FROM lineitem JOIN (SELECT doc_id AS cited, trim(regexp_replace(left(string_split(text, chr(10))[1], 90), '\\s+', ' ', 'g')) AS t FROM documents) c ON c.cited = l_partkey
+  SELECT DISTINCT l_orderkey AS doc_id, l_partkey FROM lineitem JOIN (SELECT doc_id AS cited, trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')) AS t FROM documents) c ON c.cited = l_partkey
   WHERE length(t) >= 12 AND l_orderkey IN (SELECT doc_id FROM documents)) GROUP BY 1""")
 def reference_entries(spark, sf):
     t = _reference_texts(spark, sf)
@@ -515,7 +515,7 @@ def reference_entries(spark, sf):
 
 @query("fuzzy_title_edges")
 def fuzzy_title_edges(spark, sf):
-    papers = T.document_papers(spark, sf).select("id", X.collapse(F.left("title", F.lit(90))).alias("title"))
+    papers = T.document_papers(spark, sf).select("id", "title")
     return G.title_edges(G.reference_candidates(_reference_texts(spark, sf)), papers)
 
 
@@ -561,7 +561,7 @@ def paper_overviews(spark, sf):
 
 # Turns as sub-answers of a topic; a turn has as many chunks as its number plus one.
 SQL["turn_answers"] = """
-SELECT conv_id AS topic_id, turn AS idx, turn % 4 AS n_chunks, text || ' [^1^] and [^' || turn || '^] or [^99^].' AS answer FROM conversations"""
+SELECT conv_id AS topic_id, turn AS idx, turn % 4 AS n_chunks, text || ' [^1^] and [^' || turn || '^] or [^99^].' AS answer, text FROM conversations"""
 
 
 def _turn_answers(spark, sf):
@@ -570,11 +570,14 @@ def _turn_answers(spark, sf):
     return c.select(F.col("conv_id").alias("topic_id"), F.col("turn").alias("index"), (F.col("turn") % 4).cast("int").alias("n_chunks"), answer.alias("answer"), "text")
 
 
-@query("running_citation_offset", """
-SELECT topic_id, idx, CAST(coalesce(sum(n_chunks) OVER w, 0) AS BIGINT) AS off,
-       regexp_replace(answer, '.*', '') || left(answer, strpos(answer, '[^1^]') - 1) || CASE WHEN n_chunks >= 1 THEN '[^' || CAST(coalesce(sum(n_chunks) OVER w, 0) + 1 AS BIGINT) || '^]' ELSE '' END
+SQL["turn_global"] = """
+SELECT topic_id, idx, text, CAST(coalesce(sum(n_chunks) OVER w, 0) AS BIGINT) AS off,
+       left(answer, strpos(answer, '[^1^]') - 1) || CASE WHEN n_chunks >= 1 THEN '[^' || CAST(coalesce(sum(n_chunks) OVER w, 0) + 1 AS BIGINT) || '^]' ELSE '' END
        || ' and ' || CASE WHEN idx BETWEEN 1 AND n_chunks THEN '[^' || CAST(coalesce(sum(n_chunks) OVER w, 0) + idx AS BIGINT) || '^]' ELSE '' END || ' or .' AS global_answer
-FROM turn_answers WINDOW w AS (PARTITION BY topic_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""".replace("regexp_replace(answer, '.*', '') || ", ""))
+FROM turn_answers WINDOW w AS (PARTITION BY topic_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+@query("running_citation_offset", "SELECT topic_id, idx, off, global_answer FROM turn_global")
 def running_citation_offset(spark, sf):
     out = C.global_markers(_turn_answers(spark, sf), block=3)
     return out.select("topic_id", F.col("index").alias("idx"), F.col("offset").alias("off"), "global_answer")
@@ -661,22 +664,22 @@ def sub_question_lists(spark, sf):
 
 
 @query("sub_answer_status", """
-SELECT topic_id, idx, CASE WHEN n_chunks > 0 AND idx <> 2 THEN answer ELSE '该子问题检索不足。' END AS answer, CAST(CASE WHEN n_chunks > 0 AND idx <> 2 THEN n_chunks ELSE 0 END AS BIGINT) AS n_chunks,
+SELECT topic_id, idx, text AS question, CASE WHEN n_chunks > 0 AND idx <> 2 THEN answer ELSE '该子问题检索不足。' END AS answer, CAST(CASE WHEN n_chunks > 0 AND idx <> 2 THEN n_chunks ELSE 0 END AS BIGINT) AS n_chunks,
        n_chunks > 0 AND idx <> 2 AS ok FROM turn_answers""")
 def sub_answer_status(spark, sf):
     t = _turn_answers(spark, sf)
     hits = t.filter("n_chunks > 0").select("topic_id", "index", F.explode(F.sequence(F.lit(1), F.col("n_chunks"))).alias("rank"))
     answers = C.generator_input(t, hits).select("topic_id", "index", F.when(F.col("index") == 2, "[调用 LLM 出错: x]").otherwise(F.col("answer")).alias("answer"),
                                                F.lit(None).cast("string").alias("error"))
-    out = C.sub_answers(t.select("topic_id", "index", F.left("text", F.lit(20)).alias("question")), hits, answers)
-    return out.select("topic_id", F.col("index").alias("idx"), "answer", F.col("n_chunks").cast("bigint").alias("n_chunks"), "ok")
+    out = C.sub_answers(t.select("topic_id", "index", F.col("text").alias("question")), hits, answers)
+    return out.select("topic_id", F.col("index").alias("idx"), "question", "answer", F.col("n_chunks").cast("bigint").alias("n_chunks"), "ok")
 
 
 @query("synthesis_contexts", """
-SELECT topic_id, string_agg('### 子问题 ' || idx || '：q' || chr(10) || 'a', chr(10) || chr(10) ORDER BY idx) || coalesce(chr(10) || chr(10) || '### 全局引用清单' || chr(10) || any_value(refs), '') AS context FROM turn_answers
+SELECT topic_id, string_agg('### 子问题 ' || idx || '：' || text || chr(10) || global_answer, chr(10) || chr(10) ORDER BY idx) || coalesce(chr(10) || chr(10) || '### 全局引用清单' || chr(10) || any_value(refs), '') AS context FROM turn_global
 LEFT JOIN (SELECT topic_id, string_agg('[' || n || '] 未知文献', chr(10) ORDER BY n) AS refs FROM (SELECT topic_id, unnest(range(1, CAST(sum(n_chunks) AS BIGINT) + 1)) AS n FROM turn_answers GROUP BY 1) GROUP BY 1) USING (topic_id) GROUP BY 1""")
 def synthesis_contexts(spark, sf):
-    t = _turn_answers(spark, sf).withColumn("answer", F.lit("a")).withColumn("question", F.lit("q")).withColumn("ok", F.lit(True))
+    t = _turn_answers(spark, sf).withColumn("question", F.col("text")).withColumn("ok", F.lit(True))
     hits = t.filter("n_chunks > 0").select("topic_id", "index", F.explode(F.sequence(F.lit(1), F.col("n_chunks"))).alias("rank"),
                                           F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("page_number"))
     return C.synthesis_contexts(C.global_markers(t), hits)
@@ -756,7 +759,7 @@ def _responses(spark, sf):
     """One generator answer per document: a fenced list with a verbatim quote, a missing quote and a bad type."""
     d = T.spread(T.table(spark, sf, "documents"))
     item = lambda q, kind, quote: F.struct(F.lit(q).alias("question"), F.lit(" a ").alias("ground_truth"), F.lit(kind).alias("question_type"), quote.alias("evidence_quote"))
-    quote = F.substring(F.split("text", "\n")[0], 1, 60)
+    quote = F.split("text", "\n")[0]
     items = F.array(item(" q1 ", "factoid", quote), item("q2", "summary", F.lit("this quote does not occur anywhere")), item("q3", "out_of_scope", quote),
                     item("q4", "comparison", quote), item(" ", "factoid", quote))
     return d.select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("Sure!\n```json\n{\"items\": "), F.to_json(items), F.lit("}\n```")).alias("response"))
@@ -764,7 +767,7 @@ def _responses(spark, sf):
 
 SQL["quote_rows"] = """
 SELECT doc_id, q, (SELECT coalesce(sum((length(l) - length(replace(l, q, ''))) // length(q)), 0) FROM (SELECT unnest(string_split(text, chr(10))) AS l)) AS n FROM (
-  SELECT doc_id, text, trim(substr(string_split(text, chr(10))[1], 1, 60), ' ' || chr(9) || chr(13) || chr(160)) AS q FROM documents) WHERE length(q) >= 20"""
+  SELECT doc_id, text, trim(string_split(text, chr(10))[1], ' ' || chr(9) || chr(13) || chr(160)) AS q FROM documents) WHERE length(q) BETWEEN 20 AND 500"""
 
 
 @query("candidate_items", """
@@ -797,23 +800,23 @@ def remaining_papers(spark, sf):
 
 
 @query("excerpt_candidates", """
-SELECT doc_id AS paper_id, 'gen-p' || doc_id || '-001' AS qa_id FROM documents WHERE length(trim(left(text, 30), ' ' || chr(9) || chr(10) || chr(13) || chr(160))) >= 8""")
+SELECT doc_id AS paper_id, 'gen-p' || doc_id || '-001' AS qa_id FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda l: length(trim(l, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) >= 8)) > 0""")
 def excerpt_candidates(spark, sf):
     d = T.spread(T.table(spark, sf, "documents"))
     items = d.select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("pos"), F.lit("q").alias("question"), F.lit("a").alias("ground_truth"),
-                     F.lit("summary").alias("question_type"), F.array(F.lower(F.left("text", F.lit(30))), F.lit("no such excerpt at all")).alias("excerpts"))
+                     F.lit("summary").alias("question_type"), F.concat(F.array(F.lit("no such excerpt at all")), F.split(F.lower("text"), "\n")).alias("excerpts"))
     return Q.accepted_by_excerpts(items, d.withColumnRenamed("doc_id", "paper_id")).select("paper_id", "qa_id")
 
 
 @query("cross_paper_candidates", """
 SELECT c_custkey AS response_id, 'gen-cross-001' AS qa_id, 2 AS n FROM customer JOIN documents a ON a.doc_id = c_custkey JOIN documents b ON b.doc_id = c_custkey + 1
-WHERE length(trim(left(a.text, 30), ' ' || chr(10) || chr(13) || chr(9) || chr(160))) >= 8 AND length(trim(left(b.text, 30), ' ' || chr(10) || chr(13) || chr(9) || chr(160))) >= 8""")
+WHERE len(list_filter(string_split(a.text, chr(10)), lambda l: length(trim(l, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) >= 8)) > 0 AND len(list_filter(string_split(b.text, chr(10)), lambda l: length(trim(l, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) >= 8)) > 0""")
 def cross_paper_candidates(spark, sf):
     """Customer n's response compares documents n and n+1."""
     d = T.spread(T.table(spark, sf, "documents")).select("doc_id", "text")
     c = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("response_id"))
     locs = c.select("response_id", F.explode(F.array(F.col("response_id"), F.col("response_id") + 1)).alias("doc_id")).join(d, "doc_id")
-    loc = F.struct(F.col("doc_id").alias("paper_id"), F.array(F.left("text", F.lit(30))).alias("excerpts"))
+    loc = F.struct(F.col("doc_id").alias("paper_id"), F.split("text", "\n").alias("excerpts"))
     items = locs.groupBy("response_id").agg(F.array_sort(F.collect_list(loc)).alias("locators")).select(
         "response_id", F.lit(0).alias("pos"), F.lit("q").alias("question"), F.lit("a").alias("ground_truth"), F.lit("comparison").alias("question_type"), "locators")
     out = Q.accepted_cross_paper(items, d.withColumnRenamed("doc_id", "paper_id"))
