@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.schemas import PAPERS, conform
 from marginalia.sources import documents as D, evaluation as EV, sinks as S
+from marginalia.functions import vectors as VX
 from marginalia.streaming import conversation_stream as CS, ingest_stream as IS
 
 
@@ -117,7 +118,7 @@ def test_ingest_stream(spark, tmp_path):
     ids = lambda: sorted(r["chunk_id"] for r in IS.current_table(spark, root, "chunks").collect())
     assert ids() == ["p1_c-1", "p1_c0"]
     assert {(r["paper_id"], r["processed"]) for r in IS.current_table(spark, root, "status").collect()} == {(1, "done"), (3, "error")}
-    assert [(r["citing_id"], r["cited_id"]) for r in spark.read.parquet(os.path.join(root, "edges")).collect()] == [(1, 2)]
+    assert [tuple(r) for r in IS.current_table(spark, root, "edges").collect()] == [(1, 2)]
     run()
     assert ids() == ["p1_c-1", "p1_c0"]
     spark.createDataFrame([(1, 1, "new"), (2, 1, "two")], schema).coalesce(1).write.mode("append").parquet(src)
@@ -127,6 +128,62 @@ def test_ingest_stream(spark, tmp_path):
     assert text["p1_c0"] == "new" and text["p2_c-1"] == "abs"
 
 
+def test_pages_of_a_paper_meet_over_batches(spark, tmp_path):
+    src, root, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    papers = spark.createDataFrame([(1, "A long enough title", "abs")], "id BIGINT, title STRING, abstract STRING")
+
+    def push(*rows):
+        spark.createDataFrame(list(rows), "paper_id BIGINT, page_number INT, text STRING").coalesce(1).write.mode("append").parquet(src)
+        IS.ingest_stream(spark, src, papers, root, mark, embed=VX.embedder(VX.hashing_embedder(8))(F.col("content")), buckets=4).awaitTermination()
+        return {(r.chunk_id, r.content) for r in IS.current_table(spark, root, "chunks").collect()}
+
+    assert push((1, 2, "second"), (2, 1, " ")) == {("p1_c0", "second"), ("p1_c-1", "abs")}
+    state = lambda: {r.paper_id: (r.processed, r.error, r.batch) for r in IS.current_table(spark, root, "status").collect()}
+    assert state() == {1: ("done", None, 0), 2: ("error", "no text", 0)}
+    assert push((1, 1, "first"), (1, 3, "third"), (1, 3, "third")) == {("p1_c0", "first"), ("p1_c1", "second"), ("p1_c2", "third"), ("p1_c-1", "abs")}
+    before = state()
+    assert push((1, 2, "second"), (None, 1, "x"), (3, None, "y")) == {("p1_c0", "first"), ("p1_c1", "second"), ("p1_c2", "third"), ("p1_c-1", "abs")} and state() == before
+    assert push((1, 2, "changed"), (2, 1, "now with text")) == {("p1_c0", "first"), ("p1_c1", "changed"), ("p1_c2", "third"), ("p1_c-1", "abs"),
+                                                              ("p2_c0", "now with text"), ("p2_c-1", "now with text")}
+    vectors = {r.chunk_id for r in IS.current_table(spark, root, "vectors").collect()}
+    assert vectors == {r.chunk_id for r in IS.current_table(spark, root, "chunks").collect()} and state()[2][0] == "done"
+    assert push((1, 1, ""), (1, 2, " "), (1, 3, None)) == {("p2_c0", "now with text"), ("p2_c-1", "now with text")} and state()[1][:2] == ("error", "no text")
+
+
+def test_a_failed_batch_is_retried_and_edge_failures_are_recorded(spark, tmp_path, monkeypatch):
+    src, root, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    papers = spark.createDataFrame([(1, "A long enough title", None)], "id BIGINT, title STRING, abstract STRING")
+    spark.createDataFrame([(1, 1, "text"), (1, 2, "more")], "paper_id BIGINT, page_number INT, text STRING").coalesce(1).write.parquet(src)
+    calls, whole = [], IS.ingest.abstract_chunks
+
+    def failing(*args):
+        calls.append(1)
+        if len(calls) < 4:
+            raise OSError("storage is away")
+        return whole(*args)
+
+    monkeypatch.setattr(IS.ingest, "abstract_chunks", failing)
+    with pytest.raises(Exception):
+        IS.ingest_stream(spark, src, papers, root, mark, attempts=3).awaitTermination()
+    assert len(calls) == 3
+    monkeypatch.setattr(IS.graph, "title_edges", lambda *args: (_ for _ in ()).throw(ValueError("no titles today")))
+    IS.ingest_stream(spark, src, papers, root, mark, attempts=3).awaitTermination()
+    assert {r.content for r in IS.current_table(spark, root, "chunks").collect()} == {"text", "more"}
+    assert [(r.processed, r.edge_error) for r in IS.current_table(spark, root, "status").collect()] == [("done", "ValueError: no titles today")]
+
+
+def test_a_page_with_an_error_and_a_replayed_batch(spark, tmp_path):
+    root = str(tmp_path / "out")
+    papers = spark.createDataFrame([], "id BIGINT, title STRING, abstract STRING")
+    rows = spark.createDataFrame([(1, 1, "text", None), (1, 2, None, "broken"), (2, 1, "fine", None)], "paper_id BIGINT, page_number INT, text STRING, error STRING")
+    for _ in range(2):
+        IS.process_batch(papers, rows, 0, root)
+        assert {(r.paper_id, r.processed, r.error) for r in IS.current_table(spark, root, "status").collect()} == {(1, "error", "broken"), (2, "done", None)}
+        assert sorted(r.chunk_id for r in IS.current_table(spark, root, "chunks").collect()) == ["p2_c-1", "p2_c0"]
+    IS.process_batch(papers, rows.limit(0), 1, root)
+    assert IS.current_table(spark, root, "pages").count() == 3
+
+
 def test_digest_stream_across_batches(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
     schema = "id BIGINT, conversation_id BIGINT, role STRING, content STRING, at INT"
