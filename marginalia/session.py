@@ -109,9 +109,11 @@ class Scratch:
         self._delete(self.path)
         release(self.spark)
 
-    def write(self, df: DataFrame, label: str = "table") -> DataFrame:
+    def write(self, df: DataFrame, label: str = "table", row_group: int | None = None) -> DataFrame:
+        """``row_group`` bounds the bytes a task holds before it writes them, for wide rows."""
         path = f"{self.path}/{label}-{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(path)
+        writer = df.write.mode("errorifexists")
+        (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
         self.held.setdefault(label, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
