@@ -39,6 +39,20 @@ def ndcg_at_k(retrieved: Column, relevant: Column, k: int) -> Column:
     return F.when(ideal_length > 0, dcg / ideal).otherwise(0.0)
 
 
+def share_found(found: Column, relevant: Column, k: int) -> Column:
+    """Recall from the number of relevant ids found in the first ``k`` places and the number of all; 0 without any."""
+    return F.when((relevant > 0) & F.lit(k > 0), F.coalesce(found, F.lit(0)).cast("double") / relevant).otherwise(0.0)
+
+
+def gain_share(dcg: Column, relevant: Column, k: int) -> Column:
+    """NDCG from the discounted gain of the first ``k`` places and the number of relevant ids; 0 without any."""
+    if k <= 0:
+        return F.lit(0.0)
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(relevant.cast("int"), F.lit(k)), F.lit(1))), F.lit(0.0),
+                        lambda total, place: total + F.lit(1.0) / F.log2(place + 1.0))
+    return F.when(relevant > 0, F.coalesce(dcg, F.lit(0.0)) / ideal).otherwise(0.0)
+
+
 def citation_scores(cited: Column, relevant: Column) -> Column:
     """``struct(precision, recall, f1, coverage)`` on sets; coverage equals recall."""
     c, r = F.array_distinct(cited), F.array_distinct(relevant)

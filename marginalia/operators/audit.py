@@ -41,15 +41,20 @@ def repair_links(paper_tags: DataFrame, papers: DataFrame, dry_run: bool = True)
 
 # Manifests -----------------------------------------------------------------------------------
 
-def chunk_manifests(chunks: DataFrame) -> DataFrame:
-    """SHA-256 of a paper's ordered ``[{chunk_index, content_sha256}]`` list: ``(paper_id, manifest)``.
+MANIFEST_BLOCK = 512
 
-    The definition is the same for papers of any length. Contents are hashed before they are grouped, so a paper's list
-    holds some hundred bytes per chunk: by definition it is one value, like the paper's full text.
+
+def chunk_manifests(chunks: DataFrame, block: int = MANIFEST_BLOCK) -> DataFrame:
+    """SHA-256 of a paper's chunks in two levels: ``(paper_id, manifest)``.
+
+    A block of ``block`` chunk numbers is hashed as its ordered ``[{chunk_index, content_sha256}]`` list, the paper as the ordered
+    ``[{block, sha256}]`` list of its blocks. One definition for papers of any length, and a paper with a large part of all chunks is spread over its blocks.
     """
     entry = F.struct("chunk_index", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_sha256"))
-    return chunks.select("paper_id", entry.alias("e")).groupBy("paper_id").agg(
-        F.sha2(F.to_json(F.array_sort(F.collect_list("e"))), 256).alias("manifest"))
+    number = F.floor(F.col("chunk_index") / F.lit(block)).cast("bigint")
+    blocks = chunks.select("paper_id", number.alias("block"), entry.alias("e")).groupBy("paper_id", "block").agg(
+        F.sha2(F.to_json(F.array_sort(F.collect_list("e"))), 256).alias("sha256"))
+    return blocks.groupBy("paper_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("block", "sha256")))), 256).alias("manifest"))
 
 
 def set_hash(row_hash: Column) -> Column:

@@ -147,23 +147,34 @@ def require_resolved(items: DataFrame, labels: DataFrame) -> None:
 # Metrics -------------------------------------------------------------------------------------
 
 def score_items(items: DataFrame, hits: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
-    """Item table: retrieved and relevant ids with recall@k, reciprocal rank and NDCG@k.
+    """Item table: retrieved ids, number of relevant ids, recall@k, reciprocal rank and NDCG@k.
 
     ``items(qa_id, question_type, has_answer)``, ``hits(qa_id, rank, chunk_id)`` (already cut to the
     retriever's list), ``labels(qa_id, chunk_id)``. Metrics are NULL for negatives.
+
+    Hits meet labels by (item, chunk), and metrics are sums over the ranks that met, so an item may have any number of labels: they
+    are counted, never gathered. A chunk listed twice counts at its first place; NDCG takes repeated ids out
+    before it cuts, recall cuts first.
     """
+    known = labels.filter("qa_id is not null and chunk_id is not null").select("qa_id", "chunk_id").distinct()
+    order = W.partitionBy("qa_id").orderBy("rank", "chunk_id")
+    placed = hits.select("qa_id", "rank", "chunk_id").withColumn("place", F.row_number().over(order))
+    once = placed.groupBy("qa_id", "chunk_id").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
+    once = once.withColumn("shown", F.row_number().over(W.partitionBy("qa_id").orderBy("place")))
+    met = once.join(known, ["qa_id", "chunk_id"], "left_semi")
+    found = met.groupBy("qa_id").agg(
+        F.count(F.when(F.col("place") <= k, 1)).alias("found"), F.min("place").alias("first"),
+        F.sum(F.when(F.col("shown") <= k, F.lit(1.0) / F.log2(F.col("shown") + 1.0)).otherwise(0.0)).alias("dcg"))
+    relevant = known.groupBy("qa_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     retrieved = hits.groupBy("qa_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h["chunk_id"]).alias("retrieved_ids"))
-    relevant = labels.groupBy("qa_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant_ids"))
-    none = F.array().cast("array<string>")
-    joined = (items.join(retrieved, "qa_id", "left").join(relevant, "qa_id", "left")
-              .withColumn("retrieved_ids", F.coalesce("retrieved_ids", none))
-              .withColumn("relevant_ids", F.coalesce("relevant_ids", none)))
-    r, g = F.col("retrieved_ids"), F.col("relevant_ids")
+    joined = (items.join(retrieved, "qa_id", "left").join(relevant, "qa_id", "left").join(found, "qa_id", "left")
+              .withColumn("retrieved_ids", F.coalesce("retrieved_ids", F.array().cast("array<string>")))
+              .withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0))))
     return joined.withColumns({
-        "recall": F.when(F.col("has_answer"), M.recall_at_k(r, g, k)),
-        "mrr": F.when(F.col("has_answer"), M.reciprocal_rank(r, g)),
-        "ndcg": F.when(F.col("has_answer"), M.ndcg_at_k(r, g, k))})
+        "recall": F.when(F.col("has_answer"), M.share_found(F.col("found"), F.col("n_relevant"), k)),
+        "mrr": F.when(F.col("has_answer"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))),
+        "ndcg": F.when(F.col("has_answer"), M.gain_share(F.col("dcg"), F.col("n_relevant"), k))}).drop("found", "first", "dcg")
 
 
 def by_type(scored: DataFrame) -> DataFrame:

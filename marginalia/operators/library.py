@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from marginalia.functions import text as X, vocabulary as V
-from marginalia.operators.blocks import global_row_number
+from marginalia.operators.blocks import block_of, global_row_number, row_numbers
 from marginalia.schemas import any_of
 
 BRIEF_CHARS = 200
@@ -188,8 +188,13 @@ def citation_list(papers: DataFrame, style: str = "GB/T 7714") -> DataFrame:
                                                   F.col("text")).alias("line"))
 
 
-def ordered_annotations(annotations: DataFrame) -> DataFrame:
-    return annotations.orderBy("paper_id", "page_number", "created_at")
+def ordered_annotations(annotations: DataFrame, block: int = 512) -> DataFrame:
+    """Annotations with their place ``pos`` (from 1) in the paper's listing: by page, then creation, then id.
+
+    Numbered by blocks of pages, so a paper with any number of annotations is not sorted in one task.
+    """
+    rows = annotations.withColumn("page_block", block_of(F.coalesce("page_number", F.lit(0)), block))
+    return row_numbers(rows, ["paper_id"], ["page_number", "created_at", "id"], "page_block", "pos").withColumn("pos", F.col("pos") + 1).drop("page_block")
 
 
 def listing_order(kind: str) -> list[Column]:
@@ -198,9 +203,3 @@ def listing_order(kind: str) -> list[Column]:
             "tags": [F.col("name").asc()],
             "theses": [F.col("created_at").desc()],
             "conversations": [F.col("updated_at").desc()]}[kind]
-
-
-def newest_per(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
-    """First ``n`` rows of each key in the given order."""
-    return (df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-            .filter(F.col("rank") <= n))

@@ -188,12 +188,28 @@ def numbered_citations(spark, sf):
 
 
 @query("ordered_listings", """
-SELECT name, CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS pos FROM tags""")
+SELECT 'tags' AS kind, name AS item, CAST(row_number() OVER (ORDER BY name, id) AS BIGINT) AS pos FROM tags
+UNION ALL SELECT 'theses', CAST(id AS VARCHAR), row_number() OVER (ORDER BY created_at DESC, id) FROM papers
+UNION ALL SELECT 'conversations', CAST(conversation_id AS VARCHAR), row_number() OVER (ORDER BY u DESC, conversation_id) FROM (SELECT conversation_id, max(turn) AS u FROM messages GROUP BY 1)""")
 def ordered_listings(spark, sf):
-    """Tags by name; the numbering shows the order. Tag names are a bounded dictionary."""
+    """Tags by name, theses by creation and conversations by their last message; the numbering shows the order."""
     from marginalia.operators.blocks import global_row_number
-    numbered = global_row_number(T.tags(spark, sf), [*L.listing_order("tags"), F.col("id").asc()], "pos")
-    return numbered.select("name", F.col("pos").cast("int").alias("pos"))
+    tables = {"tags": (T.tags(spark, sf), "id", "name"), "theses": (T.papers(spark, sf).select("id", "created_at"), "id", "id"),
+              "conversations": (T.messages(spark, sf).groupBy(F.col("conversation_id").alias("id")).agg(F.max("created_at").alias("updated_at")), "id", "id")}
+    out = None
+    for kind, (rows, key, item) in tables.items():
+        numbered = global_row_number(rows, [*L.listing_order(kind), F.col(key).asc()], "pos").select(
+            F.lit(kind).alias("kind"), F.col(item).cast("string").alias("item"), "pos")
+        out = numbered if out is None else out.unionByName(numbered)
+    return out
+
+
+@query("ordered_annotations", """
+SELECT user_id AS paper_id, event_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(value) AS BIGINT), ts, event_id) AS BIGINT) AS pos FROM events""")
+def ordered_annotations(spark, sf):
+    """Events as annotations of papers, by page, then time."""
+    e = T.table(spark, sf, "events").select(F.col("user_id").alias("paper_id"), F.col("event_id").alias("id"), F.floor("value").cast("bigint").alias("page_number"), F.col("ts").alias("created_at"))
+    return L.ordered_annotations(e, block=16).select("paper_id", "id", "pos")
 
 
 # Memories ------------------------------------------------------------------------------------
@@ -391,8 +407,10 @@ def corpus_audit(spark, sf):
 
 
 SQL["manifests"] = """
-SELECT paper_id, sha256('[' || string_agg('{"chunk_index":' || chunk_index || ',"content_sha256":"' || sha256(content) || '"}', ',' ORDER BY chunk_index) || ']') AS manifest
-FROM line_chunks GROUP BY paper_id"""
+SELECT paper_id, sha256('[' || string_agg('{"block":' || b || ',"sha256":"' || h || '"}', ',' ORDER BY b) || ']') AS manifest FROM (
+  SELECT paper_id, CAST(floor(chunk_index / 512) AS BIGINT) AS b,
+         sha256('[' || string_agg('{"chunk_index":' || chunk_index || ',"content_sha256":"' || sha256(content) || '"}', ',' ORDER BY chunk_index) || ']') AS h
+  FROM line_chunks GROUP BY 1, 2) GROUP BY paper_id"""
 
 
 @query("chunk_manifests", "SELECT paper_id, manifest FROM manifests")

@@ -211,3 +211,54 @@ def test_memory_stream_keeps_capacity(spark, tmp_path):
     push(range(5))
     push(range(5, 7))
     assert sorted(r["id"] for r in CS.read_memory(spark, root).collect()) == [4, 5, 6]
+
+
+def test_memories_are_bounded_without_rewriting(spark, tmp_path):
+    """Several batches, rows sent twice, a type that holds most rows, a type without a limit."""
+    import random
+    rng = random.Random(2)
+    src, root, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    schema = "id BIGINT, memory_type STRING, content STRING, importance INT, at INT"
+    limits = {"short_term": 3, "fact": 2}
+    sent, sizes = {}, []
+    for part in range(3):
+        rows = [(i, "fact" if i % 3 else rng.choice(["short_term", "scratch"]), f"m{i}", rng.choice([None, 1, 5, 5]), rng.randrange(9)) for i in range(part * 20, part * 20 + 40) if i not in sent]
+        again = [r for r in sent.values() if rng.random() < 0.5] + rows[:3]
+        sent |= {r[0]: r for r in rows}
+        spark.createDataFrame(rows + again + [(None, "fact", "x", 9, 9), (999, "fact", " ", 9, 9)], schema).withColumn("created_at", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema + ", created_at TIMESTAMP").parquet(src)
+        CS.memory_stream(stream, root, mark, limits, salts=4).awaitTermination()
+        want = {r[0] for r in sent.values() if r[1] == "scratch"}
+        for kind, n in limits.items():
+            best = sorted((r for r in sent.values() if r[1] == kind), key=lambda r: ((r[3] or 0) if kind != "short_term" else 0, r[4], r[0]), reverse=True)
+            want |= {r[0] for r in best[:n]}
+        assert {r.id for r in CS.read_memory(spark, root, limits).collect()} == want
+        sizes.append({f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(root) for f in names})
+    assert all(sizes[-1][f] == t for f, t in sizes[0].items())
+
+
+def test_short_term_memories_follow_the_digests(spark, tmp_path):
+    src, root, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    schema = "id BIGINT, conversation_id BIGINT, role STRING, content STRING, at INT"
+    sent, store, counts = [], {}, {}
+
+    def push(rows, limit=2):
+        spark.createDataFrame(rows, schema).withColumn("created_at", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(src)
+        CS.short_term_stream(spark.readStream.schema(schema + ", created_at TIMESTAMP").parquet(src), root, mark, limit).awaitTermination()
+        for i, conversation, role, content, at in sorted(rows, key=lambda r: (r[4], r[0])):
+            counts.setdefault(conversation, []).append(f"{role}: {content}")
+            if len(counts[conversation]) % 5 == 0:
+                digest = "\n".join(counts[conversation][-10:])
+                if conversation in store:
+                    store[conversation][0] = digest
+                else:
+                    store[conversation] = [digest, at]
+                    if len(store) > limit:
+                        del store[min(store, key=lambda c: store[c][1])]
+        got = {r.source_conversation_id: [r.content, int(r.created_at.timestamp())] for r in CS.read_short_term(spark, root).collect()}
+        assert got == store
+
+    make = lambda conversation, start, n: [(conversation * 100 + i, conversation, "user", f"m{i}", conversation * 20 + i) for i in range(start, start + n)]
+    push(make(1, 0, 5) + make(2, 0, 4))
+    push(make(1, 5, 6) + make(2, 4, 2) + make(3, 0, 7))
+    push(make(1, 11, 9) + make(4, 0, 3))

@@ -249,8 +249,11 @@ def test_manifest_has_one_definition(spark):
     long = spark.range(70_000).select(F.lit(3).cast("bigint").alias("paper_id"), F.col("id").cast("int").alias("chunk_index"), F.lit("x").alias("content"))
     got = dict(audit.chunk_manifests(df.union(long).repartition(5)).collect())
     for paper, texts in ((1, {i: f"t{i}" for i in range(-1, 40)}), (2, {0: ""}), (3, dict.fromkeys(range(70_000), "x"))):
-        entries = [{"chunk_index": i, "content_sha256": hashlib.sha256(t.encode()).hexdigest()} for i, t in sorted(texts.items())]
-        assert got[paper] == hashlib.sha256(json.dumps(entries, separators=(",", ":")).encode()).hexdigest()
+        digest = lambda rows: hashlib.sha256(json.dumps(rows, separators=(",", ":")).encode()).hexdigest()
+        blocks = {}
+        for i, t in sorted(texts.items()):
+            blocks.setdefault(i // 512, []).append({"chunk_index": i, "content_sha256": hashlib.sha256(t.encode()).hexdigest()})
+        assert got[paper] == digest([{"block": b, "sha256": digest(rows)} for b, rows in sorted(blocks.items())])
     df = df.filter("paper_id = 1")
     uid = spark.createDataFrame([(1, "doi:x"), (9, "doi:x")], "paper_id BIGINT, paper_uid STRING")
     moved = df.withColumn("paper_id", F.lit(9).cast("bigint"))
@@ -293,3 +296,36 @@ def test_generator_errors_stay_in_band(spark):
         return messages[-1]["content"].upper()
     got = {r["query_id"]: r["answer"] for r in generate_answers(req, generator).collect()}
     assert got == {1: "HI", 2: "[调用 LLM 出错: RuntimeError]"}
+
+
+def test_metrics_by_ranks_equal_a_loop(spark):
+    """One item holds most labels; hits repeat ids and share ranks."""
+    import math
+    import random
+    rng = random.Random(4)
+    items = [(f"q{i}", "factoid", i % 5 > 0) for i in range(40)]
+    hits = [(f"q{i % 45}", rng.randrange(1, 8), f"c{rng.randrange(9)}") for i in range(300)]
+    labels = [(f"q{rng.randrange(40)}", f"c{rng.randrange(9)}") for _ in range(90)] + [("q1", f"x{i}") for i in range(500)] + [("q1", "c3"), (None, "c1"), ("q2", None)]
+    for k in (5, 2, 0):
+        want = {}
+        for q, _, answer in items:
+            shown = [c for _, c in sorted((r, c) for x, r, c in hits if x == q)]
+            relevant = {c for x, c in labels if x == q and c is not None}
+            found = set(shown[:k]) & relevant
+            first = next((1 / n for n, c in enumerate(shown, 1) if c in relevant), 0.0)
+            once = list(dict.fromkeys(shown))[:k]
+            ideal = sum(1 / math.log2(n + 1) for n in range(1, min(len(relevant), k) + 1))
+            dcg = sum(1 / math.log2(n + 1) for n, c in enumerate(once, 1) if c in relevant)
+            want[q] = (len(found) / len(relevant) if relevant and k else 0.0, first, dcg / ideal if ideal else 0.0) if answer else (None, None, None)
+        got = E.score_items(spark.createDataFrame(items, "qa_id STRING, question_type STRING, has_answer BOOLEAN"),
+                            spark.createDataFrame(hits, "qa_id STRING, rank INT, chunk_id STRING"), spark.createDataFrame(labels, "qa_id STRING, chunk_id STRING"), k)
+        for r in got.collect():
+            assert (r.recall, r.mrr, r.ndcg) == (pytest.approx(want[r.qa_id]) if want[r.qa_id][0] is not None else want[r.qa_id]), (k, r)
+
+
+def test_annotations_in_order(spark):
+    rows = [(1, i, i % 7, i % 3) for i in range(50)] + [(2, 100, None, 1), (2, 101, 3, 0)]
+    df = spark.createDataFrame(rows, "paper_id BIGINT, id BIGINT, page_number INT, at INT").withColumn("created_at", F.timestamp_seconds("at"))
+    got = {(r.paper_id, r.pos): r.id for r in L.ordered_annotations(df, block=2).collect()}
+    want = {(1, n): r[1] for n, r in enumerate(sorted(rows[:50], key=lambda r: (r[2], r[3], r[1])), 1)}
+    assert got == want | {(2, 1): 100, (2, 2): 101}
