@@ -19,6 +19,9 @@ SIMILARITY = 0.8
 # The masks of each width. Wherever the substitutions lie that SIMILARITY admits in a window of that width, some mask fits beside them.
 _LONG = ("1110111", "110101101", "1100101011")
 MASKS_OF = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
     4: ("1111",),
     5: ("1111", "10111", "11011", "11101"),
     6: ("11111", "101111", "110111", "111011", "111101"),
@@ -31,7 +34,7 @@ MASKS_OF = {
     13: _LONG + ("1111110011111",),
 }
 MASKS = tuple(sorted({m for masks in MASKS_OF.values() for m in masks}))
-# Fewer tokens are no passage: texts that have nothing to do with the test hold them too.
+# Items of up to four tokens are found verbatim, wherever a text holds them.
 SHORTEST = min(MASKS_OF)
 # Seeds, item tokens: what one broadcast block may hold (about 100 bytes each, so some 20 MB).
 BLOCK_ROWS = 200_000
@@ -69,7 +72,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_rows: int = BLOCK_ROWS
     SIMILARITY of the width. Every such overlap is found. Starts count tokens from 0; ties go to the earliest place in the document.
     The test side is small by nature but its size is counted: it is dealt into blocks of at most about ``block_rows``
     seeds and tokens by item, each broadcast on its own, so common passages neither shuffle nor gather documents. Null and
-    blank texts, and items of fewer than SHORTEST tokens, have no overlaps; items equal in id are one item's variants. Further
+    blank texts, and items without a token, have no overlaps; an item of one to four tokens overlaps every text that holds it; items equal in id are one item's variants. Further
     columns are not read.
     """
     items = materialize(benchmark.select("item_id", tokens(F.col("text")).alias("item_tokens")).distinct(), "items")
