@@ -16,16 +16,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm.counts import TOKENIZERS
 from marginalia.llm.shared import heavy_threshold
-from marginalia.session import materialize
+from marginalia.session import Scratch, materialize
 
 BYTE_PAIRS = f"{TOKENIZERS}/byte_bpe_50k.json"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -33,9 +35,13 @@ MARK = "\u2581"
 # Before a space after a character that is neither blank for any of the libraries nor the marker.
 CUT = re.compile(r"(?= )(?<=[^\s\u180e\u200b\ufeff\u2581])")
 # Characters of the documents worked on at a time; one longer document is a slice of its own.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 3 << 19
 # Pieces a tokenizer encodes in one call.
-ENCODE = 20_000
+ENCODE = 5_000
+# How a pair number ``a * B + b`` is written.
+CODE = "<u4"
+# Rows whose links are counted or summed together.
+ROWS = 1000
 # Pairs that are sent to every executor, 24 bytes each.
 HEAD_PAIRS = 1_000_000
 # Pairs a task counts before it passes the counts on.
@@ -152,9 +158,6 @@ class Aligner:
         self.more = [np.array([b"%d," % i for i in range(len(side.bytes))], dtype=object) for side in (a, b)]
         self.last = [np.array([b"%d%s" % (i, end) for i in range(len(side.bytes))], dtype=object) for side, end in ((a, b"|"), (b, b";"))]
 
-    def pairs(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return code // len(self.b.bytes), code % len(self.b.bytes)
-
     def incidences(self, ids: list[np.ndarray]) -> tuple[Csr, Csr, np.ndarray, np.ndarray, int]:
         """The two token-byte matrices of equal byte sequences, the group of each token on both sides, and how many groups there are."""
         cover = [covering(length[i]) for length, i in zip(self.lengths, ids)]
@@ -166,20 +169,17 @@ class Aligner:
         of = [group[m.indptr[:-1]] for m in cover]
         return cover[0], cover[1], of[0], of[1], int(group[-1]) if len(ids[0]) else 0
 
-    def align(self, pieces: list[str], written: bool = True) -> Aligned:
-        ids_a, ids_b, right = [], [], np.zeros(len(pieces), dtype=bool)
+    def align(self, pieces: list[str]) -> Aligned:
+        found = [[], []]
         for at in range(0, len(pieces), ENCODE):
             part = pieces[at:at + ENCODE]
-            for i, (piece, x, y) in enumerate(zip(part, self.a.encode(part), self.b.encode(part)), at):
-                held = piece.encode("utf-8", "surrogatepass")
-                if b"".join([self.a.bytes[t] for t in x]) == held and b"".join([self.b.bytes[t] for t in y]) == held:
-                    right[i] = True
-                else:
-                    x = y = []
-                ids_a.append(x)
-                ids_b.append(y)
-        n = [np.array([len(x) for x in side], dtype=np.int64) for side in (ids_a, ids_b)]
-        ids = [np.fromiter((t for x in side for t in x), dtype=np.int64, count=int(k.sum())) for side, k in zip((ids_a, ids_b), n)]
+            for side, encoder in zip(found, (self.a, self.b)):
+                side += encoder.encode(part)
+        right = self._right(pieces, found)
+        if not right.all():
+            found = [[x if r else [] for x, r in zip(side, right.tolist())] for side in found]
+        n = [np.fromiter(map(len, side), dtype=np.int64, count=len(side)) for side in found]
+        ids = [np.fromiter(chain.from_iterable(side), dtype=np.int64, count=int(k.sum())) for side, k in zip(found, n)]
         cover_a, cover_b, of_a, of_b, groups = self.incidences(ids)
         piece_a = np.repeat(np.arange(len(pieces)), n[0])
         linked = product(cover_a, transposed(cover_b))
@@ -191,7 +191,19 @@ class Aligner:
         group_links = np.bincount(piece_a, weights=in_group[of_a], minlength=len(pieces)).astype(np.int64)
         ends_a = np.diff(of_a, append=groups) > 0
         n_groups = np.bincount(piece_a[ends_a], minlength=len(pieces))
-        return Aligned(right, n[0], n[1], n_groups, group_links, links, self._written(ids, n, of_a, of_b, groups) if written else [])
+        return Aligned(right, n[0], n[1], n_groups, group_links, links, self._written(ids, n, of_a, of_b, groups))
+
+    def _right(self, pieces: list[str], found: list[list[list[int]]]) -> np.ndarray:
+        """Whether both sides' tokens spell each piece: all at once, piece by piece only if some do not."""
+        held = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        right = np.ones(len(pieces), dtype=bool)
+        for side, ids in zip((self.a, self.b), found):
+            spelt = side.bytes.__getitem__
+            size = [sum(map(len, map(spelt, x))) for x in ids]
+            if size == list(map(len, held)) and b"".join(map(spelt, chain.from_iterable(ids))) == b"".join(held):
+                continue
+            right &= np.array([b"".join(map(spelt, x)) == h for x, h in zip(ids, held)], dtype=bool)
+        return right
 
     def _written(self, ids, n, of_a, of_b, groups) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` of each piece."""
@@ -204,11 +216,11 @@ class Aligner:
         return [b"".join(flat[i:j])[:-1] for i, j in zip([0, *ends], ends)]
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of the documents of about SLICE_CHARS characters."""
     start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
+    for i, size in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        held += size
         if held >= SLICE_CHARS:
             yield start, i + 1
             start, held = i + 1, 0
@@ -238,11 +250,6 @@ def _whole(found: Aligned, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (_sums(~found.right, at, ends) == 0) & (np.diff(ends) > 0)
 
 
-def _merged(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(code, return_inverse=True)
-    return code, np.bincount(at, weights=n, minlength=len(code)).astype(np.int64)
-
-
 class Files:
     """The two vocabularies, read on the driver and sent to the executors (some MB, whatever the corpus)."""
 
@@ -252,44 +259,84 @@ class Files:
             with open(path, "rb") as file:
                 held.append(file.read())
         self.held: Broadcast = docs.sparkSession.sparkContext.broadcast(tuple(held))
+        sizes = [len(side.bytes) for side in (BytePairs(held[0]), MarkedPieces(held[1]))]
+        self.b_ids = sizes[1]
+        if sizes[0] * sizes[1] > 1 << 32:
+            raise ValueError("pairs of ids do not fit 32 bits")
 
     def aligner(self) -> Aligner:
         a, b = self.held.value
         return Aligner(BytePairs(a), MarkedPieces(b))
 
 
-def pair_counts(docs: DataFrame, files) -> DataFrame:
-    """pair, a, b, n: how many links of the whole corpus hold each pair of ids."""
+def encoded(docs: DataFrame, files, key: str, kind: str) -> DataFrame:
+    """Per row: key, row (its number), sums over the text's pieces, groups_sha256, and links: the pair number of every overlap link, in order."""
+    sums = ["n_a", "n_b", "n_groups", "n_links", "n_group_links"]
+    schema = f"key {kind}, row bigint, {' bigint, '.join(sums)} bigint, groups binary, links binary"
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = files.aligner()
-        code, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for i, j in slices(batch.column(2)):
+                pieces, at, ends = dealt(batch.column(2).slice(i, j - i).to_pylist())
+                found = aligner.align(pieces)
+                whole = _whole(found, at, ends)
+                held, spans = at.tolist(), list(zip(ends[:-1].tolist(), ends[1:].tolist(), whole.tolist()))
+                groups = [b";".join([found.written[p] for p in held[s:e]]) if w else b"" for s, e, w in spans]
+                size = np.diff(found.links.indptr)
+                code = found.links.indices.astype(CODE)
+                stop = np.cumsum(np.where(np.repeat(whole, np.diff(ends)), size[at], 0))
+                used = at[np.repeat(whole, np.diff(ends))]
+                links = code[_places(found.links.indptr[used], size[used])]
+                cuts = np.concatenate(([0], stop))[ends].tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)]
+                    + [pa.array(np.where(whole, _sums(c, at, ends), 0)) for c in (found.a, found.b, found.groups, size, found.group_links)]
+                    + [pa.array(groups, pa.binary()), pa.array([links[s:e].tobytes() for s, e in zip(cuts, cuts[1:])], pa.binary())],
+                    names=["key", "row", *sums, "groups", "links"])
+
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
+    rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(each, schema)
+    return rows.select("key", "row", *sums, digest, "links")
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges ``start:start + size``, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def pair_counts(rows: DataFrame, files) -> DataFrame:
+    """pair, b, n: how many links of all rows of :func:`encoded` hold each pair of ids."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_b = files.b_ids
+        code, n = np.zeros(0, dtype=CODE), np.zeros(0, dtype=np.int64)
 
         def emitted():
-            a, b = aligner.pairs(code)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(a), pa.array(b), pa.array(n)], names=["pair", "a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array((code % n_b).astype(np.int64)), pa.array(n)], names=["pair", "b", "n"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in slices(texts):
-                pieces, at, ends = dealt(texts[i:j])
-                found = aligner.align(pieces, written=False)
-                of_text = np.repeat(_whole(found, at, ends), np.diff(ends))
-                times = np.bincount(at[of_text], minlength=len(pieces))
-                code, n = _merged(np.concatenate((code, found.links.indices)), np.concatenate((n, times[found.links.rows])))
-                code, n = code[n > 0], n[n > 0]
+            for start in range(0, batch.num_rows, ROWS):
+                fresh, times = np.unique(_codes(batch.column(0).slice(start, ROWS))[0], return_counts=True)
+                code, at = np.unique(np.concatenate((code, fresh)), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate((n, times)), minlength=len(code)).astype(np.int64)
                 if len(code) > TASK_PAIRS:
                     yield emitted()
                     code, n = code[:0], n[:0]
         yield emitted()
 
-    return (docs.select("text").mapInArrow(each, "pair bigint, a bigint, b bigint, n bigint")
-            .groupBy("pair", "a", "b").agg(F.sum("n").alias("n")))
+    return rows.select("links").mapInArrow(each, "pair bigint, b bigint, n bigint").groupBy("pair", "b").agg(F.sum("n").alias("n"))
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The pair numbers of some rows, and how many each row has."""
+    held = column.to_pylist()
+    return np.frombuffer(b"".join(held), dtype=CODE), np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // np.dtype(CODE).itemsize
 
 
 def marked_counts(counts: DataFrame) -> DataFrame:
     """``counts`` with best: whether the pair's count is its B id's highest. There are no more B ids than the vocabulary has."""
     highest = counts.groupBy(F.col("b").alias("of_b")).agg(F.max("n").alias("highest"))
-    return counts.join(F.broadcast(highest), F.col("b") == F.col("of_b")).select("pair", "a", "b", "n", (F.col("n") == F.col("highest")).alias("best"))
+    return counts.join(F.broadcast(highest), F.col("b") == F.col("of_b")).select("pair", "b", "n", (F.col("n") == F.col("highest")).alias("best"))
 
 
 def aligned(docs: DataFrame, key: str = "doc_id", head_pairs: int = HEAD_PAIRS, a: str = BYTE_PAIRS, b: str = PIECES) -> DataFrame:
@@ -299,61 +346,54 @@ def aligned(docs: DataFrame, key: str = "doc_id", head_pairs: int = HEAD_PAIRS,
     each, in the pairs too. Other columns of ``docs`` are not looked at.
     """
     files = Files(docs, a, b)
-    counts = materialize(marked_counts(materialize(pair_counts(docs, files), "pairs")), "pairs")
-    least = heavy_threshold(counts, "n", head_pairs)
-    head = counts.filter(F.col("n") >= least).select("pair", "n", "best").toPandas().sort_values("pair")  # at most head_pairs rows
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("pair", "n", "best")))
     kind = dict((f.name, f.dataType.simpleString()) for f in docs.schema.fields)[key]
-    schema = (f"key {kind}, row bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, n_group_links bigint, "
-              "groups binary, rare array<struct<pair: bigint, n: bigint>>")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = files.aligner()
-        pair, count, best = shared.value
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for i, j in slices(texts):
-                pieces, at, ends = dealt(texts[i:j])
-                found = aligner.align(pieces)
-                whole = _whole(found, at, ends)
-                links = found.links
-                place = np.minimum(np.searchsorted(pair, links.indices), max(len(pair) - 1, 0))
-                known = pair[place] == links.indices if len(pair) else np.zeros(len(links.indices), dtype=bool)
-                sums = [np.bincount(links.rows[known], weights=of[place[known]], minlength=len(pieces)).astype(np.int64) if len(pair) else np.zeros(len(pieces), np.int64)
-                        for of in (best, count)]
-                columns = [found.a, found.b, found.groups, np.diff(links.indptr), *sums, found.group_links]
-                held = at.tolist()
-                groups = [b";".join([found.written[p] for p in held[s:e]]) if w else b"" for s, e, w in zip(ends[:-1].tolist(), ends[1:].tolist(), whole.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)] + [pa.array(np.where(whole, _sums(c, at, ends), 0)) for c in columns]
-                    + [pa.array(groups, pa.binary()), _rare(links, known, at, ends, whole)], schema=None,
-                    names=["key", "row", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "n_group_links", "groups", "rare"])
-
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
+    spark = docs.sparkSession
     plain = ["n_a", "n_b", "n_groups", "n_links"]
-    rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(each, schema)
-    # Written once, so a row keeps its number.
-    rows = materialize(rows.select("key", "row", *plain, "n_best", "count_sum", "n_group_links", digest, "rare"), "aligned")
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.pair", F.col("r.n").alias("times"))
-    added = rare.join(counts.filter(F.col("n") < least).select("pair", "n", "best"), "pair").groupBy("row").agg(
-        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("n") * F.col("times")).alias("more_sum"))
-    total = rows.drop("rare").join(added, "row", "left")
-    return total.select(F.col("key").alias(key), *plain, (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"),
-                        (F.col("count_sum") + F.coalesce("more_sum", F.lit(0))).alias("count_sum"), "groups_sha256", "n_group_links")
-
-
-def _rare(links: Csr, known: np.ndarray, at: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> pa.Array:
-    """Per text its pairs that are not among the broadcast ones, and how often it has each."""
-    rest = links.indices[~known]
-    per_piece = np.concatenate(([0], np.cumsum(np.bincount(links.rows[~known], minlength=len(links.indptr) - 1))))
-    text_of = np.repeat(np.arange(len(whole)), np.diff(ends))
-    use = whole[text_of] if len(text_of) else np.zeros(0, dtype=bool)
-    # A row per text, of pieces, times a row per piece, of rare pairs.
-    held = csr(np.concatenate(([0], np.cumsum(np.bincount(text_of[use], minlength=len(whole))))), at[use], len(per_piece) - 1)
-    distinct, name = np.unique(rest, return_inverse=True)
-    found = product(held, csr(per_piece, name, len(distinct)))
-    struct = pa.StructArray.from_arrays([pa.array(distinct[found.indices]), pa.array(found.values)], names=["pair", "n"])
-    return pa.ListArray.from_arrays(pa.array(found.indptr.astype(np.int32)), struct)
+    with Scratch(spark) as scratch:
+        # Written once, so a row keeps its number and a text is encoded once.
+        rows = scratch.write(encoded(docs, files, key, kind), "links", row_group=16 << 20)
+        counts = scratch.write(marked_counts(scratch.write(pair_counts(rows, files), "pairs")), "counts")
+        least = heavy_threshold(counts, "n", head_pairs)
+        head = counts.filter(F.col("n") >= least).select("pair", "n", "best").toPandas().sort_values("pair")  # at most head_pairs rows
+        shared = spark.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("pair", "n", "best")))
+        passed = [*plain, "n_group_links", "groups_sha256"]
+        types = dict(rows.dtypes)
+        schema = f"key {kind}, row bigint, {', '.join(f'{c} {types[c]}' for c in passed)}, n_best bigint, count_sum bigint, rare array<struct<pair: bigint, n: bigint>>"
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pair, count, best = shared.value
+            pair = pair.astype(CODE)
+            for batch in batches:
+                for start in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(start, ROWS)
+                    code, size = _codes(part.column(part.num_columns - 1))
+                    row = np.repeat(np.arange(len(size)), size)
+                    at = np.minimum(np.searchsorted(pair, code), max(len(pair) - 1, 0))
+                    known = pair[at] == code if len(pair) else np.zeros(len(code), dtype=bool)
+                    sums = [np.bincount(row[known], weights=v[at[known]], minlength=len(size)).astype(np.int64) if len(pair) else np.zeros(len(size), np.int64) for v in (best, count)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, sums), _rare(row[~known], code[~known], len(size))],
+                                                     names=["key", "row", *passed, "n_best", "count_sum", "rare"])
+
+        summed = rows.select("key", "row", *passed, "links").mapInArrow(each, schema)
+        out = summed
+        if counts.filter(F.col("n") < least).isEmpty():
+            out = materialize(summed.drop("rare"), "aligned")
+        else:
+            summed = scratch.write(summed, "summed")
+            rare = summed.select("row", F.explode("rare").alias("r")).select("row", "r.pair", F.col("r.n").alias("times"))
+            added = rare.join(counts.filter(F.col("n") < least).select("pair", "n", "best"), "pair").groupBy("row").agg(
+                F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("n") * F.col("times")).alias("more_sum"))
+            total = summed.drop("rare").join(added, "row", "left")
+            out = materialize(total.withColumn("n_best", F.col("n_best") + F.coalesce("more_best", F.lit(0)))
+                              .withColumn("count_sum", F.col("count_sum") + F.coalesce("more_sum", F.lit(0))), "aligned")
+    return out.select(F.col("key").alias(key), *plain, "n_best", "count_sum", "groups_sha256", "n_group_links")
+
+
+def _rare(row: np.ndarray, code: np.ndarray, rows: int) -> pa.Array:
+    """Per row its pairs that are not among the broadcast ones, and how often it has each."""
+    both, n = np.unique(np.stack([row, code.astype(np.int64)]), axis=1, return_counts=True) if len(row) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+    ends = np.concatenate(([0], np.cumsum(np.bincount(both[0], minlength=rows)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(both[1]), pa.array(n.astype(np.int64))], names=["pair", "n"]))
 
 
 def token_links(docs: DataFrame, key: str = "doc_id", by_group: bool = False, a: str = BYTE_PAIRS, b: str = PIECES) -> DataFrame:

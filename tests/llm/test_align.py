@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,8 +103,13 @@ def test_a_third_of_all_rows_is_one_text(tools, documents):
 def test_small_slices_and_task_counts(tools, documents, monkeypatch):
     monkeypatch.setattr(align, "SLICE_CHARS", 50)
     texts = prose(4, 20) + [None, "", "x" * 200]
-    assert [t for i, j in align.slices(texts) for t in texts[i:j]] == texts
-    assert all(sum(len(t or "") for t in texts[i:j - 1]) < 50 for i, j in align.slices(texts))
+    cuts = list(align.slices(pa.array(texts)))
+    assert [t for i, j in cuts for t in texts[i:j]] == texts
+    assert all(sum(len(t or "") for t in texts[i:j - 1]) < 50 for i, j in cuts)
+    monkeypatch.setattr(align, "ENCODE", 3)
+    monkeypatch.setattr(align, "ROWS", 2)
+    found = tools.align(list(dict.fromkeys(align.CUT.split(" " + " ".join(t for t in texts if t)))))
+    assert found.right.all() and len(found.links.indices) == found.links.indptr[-1]
 
 
 def test_links_and_group_links(tools, documents):
