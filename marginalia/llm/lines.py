@@ -3,38 +3,51 @@
 Two lines are linked if one becomes the other by at most one edit of a word (substituted, inserted or deleted), or by
 none. A line's variants are the line itself and the line less any one word. Lines that share a variant less the word at
 the same place differ in that word at most, and a line equal to another's variant lacks one of its words. Variants are
-XORs of hashes of (word, place), so all variants of a line cost as much as reading it twice. Joining equal
+XORs of hashes of (word, place), scanned inside the row, so all variants of a line cost as much as reading it twice. Joining equal
 variants needs no pairs: each key keeps its earliest line, and every line of the key is compared with that, word by word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Callable
 
-from marginalia.session import materialize
+from pyspark.sql import Column, DataFrame, functions as F
+
+from marginalia.session import Scratch, materialize
 from marginalia.llm.shared import BLANKS, membership_filter, possible_members
 
 MIN_WORDS = 5
+# Words whose prefixes are scanned together; longer lines are scanned by blocks.
+SCAN = 64
+
+
+def _plain(docs: DataFrame, *kept: str | Column) -> DataFrame:
+    """``kept``, line_no (from 0), raw, line with blank runs as single spaces; a null text has one row, of nulls."""
+    rows = docs.select(*kept, F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw"))
+    raw = F.col("raw")
+    uneven = raw.startswith(" ") | raw.endswith(" ")
+    for blank in ("  ", "\t", "\x0b", "\f", "\r"):
+        uneven = uneven | raw.contains(blank)
+    return rows.withColumn("line", F.when(uneven, F.trim(F.regexp_replace("raw", BLANKS, " "))).otherwise(raw))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line with blank runs as single spaces. A null text has no line."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.withColumn("line", F.trim(F.regexp_replace("line", BLANKS, " ")))
+    return _plain(docs, "doc_id").filter("line_no is not null").select("doc_id", "line_no", "line")
 
 
-def _half_keys(words: Column, n: Column) -> Column:
+def _half_keys(min_words: int) -> Column:
     """Keys two lines one edit apart share: the first or last half, by the size of the shorter (or equal) line.
 
     If the edit lies in one half of the shorter line, the other half is whole in both. Only lines that share a half with
     another line can have a partner; the rest need no variants.
     """
-    def pair(size):
+    words, n = F.col("words"), F.size("words")
+
+    def pair(size: Column) -> list[Column]:
         half = F.floor(size / 2).cast("int")
-        rest = size - half
-        return [F.xxhash64(F.lit("first"), size, F.array_join(F.slice(words, F.lit(1), half), " ")),
-                F.xxhash64(F.lit("last"), size, F.array_join(F.slice(words, n - rest + 1, rest), " "))]
-    return F.array(*pair(n), *pair(n - 1))
+        return [F.xxhash64(F.lit("first"), size, F.slice(words, F.lit(1), half)), F.xxhash64(F.lit("last"), size, F.slice(words, n - (size - half) + 1, size - half))]
+    return F.when(n >= min_words - 1, F.array(*pair(n), *pair(n - 1)))
 
 
 def linked_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -45,76 +58,96 @@ def linked_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one in five words may differ; shorter lines are compared as they are. Lines without words are layout and
     always kept. Rows that repeat a doc_id share its line numbers, and their equal lines are kept together.
     """
-    lines = split_lines(docs).filter("line <> ''")
-    words, n = F.split("line", " "), F.col("n")
-    keyed = lines.select("doc_id", "line_no", *_text_key(), words.alias("words"), F.size(words).alias("n"))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
-    halved = keyed.select("k1", "k2", place.alias("place"), F.when(n >= min_words - 1, _half_keys(F.col("words"), n)).alias("halves"))
-    texts = materialize(halved.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("copies")), "lines")
-    better = _links(lines, texts, min_words)
-    joined = texts.select("k1", "k2", "place", "copies").join(better, ["k1", "k2"], "left")
-    # Only lines that repeat or have an earlier neighbour need a look-up; the rest are their own first.
-    first = materialize(joined.filter("copies > 1 or earliest is not null")
-                        .select("k1", "k2", F.least("place", F.coalesce("earliest", "place")).alias("first")), "firsts")
-    every = split_lines(docs).select("doc_id", "line_no", *[F.when(F.col("line") != "", k).alias(f"k{i}") for i, k in enumerate(_text_key(), 1)])
-    changed = every.join(first, ["k1", "k2"], "left")
-    out = changed.select("doc_id", "line_no", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("first_doc_id"),
-                         F.when(F.col("first").isNull(), F.col("line_no")).otherwise(F.col("first.line_no")).alias("first_line_no"))
+    every = split_lines(docs)
+    return _with_first(every, _firsts(every, min_words)).drop("line")
+
+
+def _with_first(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``lines`` with first_doc_id, first_line_no and keep."""
+    keyed = lines.select("*", *[F.when(F.col("line") != "", k).alias(f"k{i}") for i, k in enumerate(_text_key(), 1)])
+    own = F.col("first").isNull()
+    out = keyed.join(firsts, ["k1", "k2"], "left").withColumn("first_doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")))
+    out = out.withColumn("first_line_no", F.when(own, F.col("line_no")).otherwise(F.col("first.line_no"))).drop("k1", "k2", "first")
     return out.withColumn("keep", F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")))
 
 
+def _firsts(every: DataFrame, min_words: int) -> DataFrame:
+    """k1, k2, first: the texts whose first place is not the place of their only line."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
+    lines = every.filter("line <> ''").select(*_text_key(), place.alias("place"), "line")
+    with Scratch(every.sparkSession) as scratch:
+        halved = lines.withColumn("words", F.split("line", " ")).select("k1", "k2", "place", _half_keys(min_words).alias("halves"))
+        texts = scratch.write(halved.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies"), F.first("halves").alias("halves")), "texts")
+        better = _links(lines, texts, min_words, scratch)
+        joined = texts.select("k1", "k2", "place", "copies").join(better, ["k1", "k2"], "left")
+        # Only lines that repeat or have an earlier neighbour need a look-up; the rest are their own first.
+        return materialize(joined.filter("copies > 1 or earliest is not null").select("k1", "k2", F.least("place", F.coalesce("earliest", "place")).alias("first")), "firsts")
+
+
 def _text_key() -> list[Column]:
     """128 bits that stand for a line's text."""
     return [F.xxhash64(F.lit(1), "line").alias("k1"), F.xxhash64(F.lit(2), "line").alias("k2")]
 
 
-def _links(lines: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+def _links(lines: DataFrame, texts: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     """k1, k2, earliest: the lines that have an earlier one a word edit away."""
-    # Different texts with a half in common.
-    halves = texts.filter("halves is not null").select("k1", "k2", "place", F.explode(F.array_distinct("halves")).alias("half"))
+    halves = texts.select("k1", "k2", F.explode("halves").alias("half"))
     # A text has each of its halves once, so a half seen twice belongs to two texts.
-    shared = materialize(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"), "shared-halves")
+    shared = scratch.write(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"), "halves")
     likely = possible_members(halves, F.col("half"), membership_filter(shared, "half"))
-    firsts = materialize(likely.join(shared, "half", "left_semi").select("k1", "k2", "place").distinct(), "candidates")
-    where = firsts.select("k1", "k2", "place", F.col("place.doc_id").alias("at_doc"), F.col("place.line_no").alias("at_line"), F.xxhash64("place.doc_id", "place.line_no").alias("at"))
-    near = possible_members(lines, F.xxhash64("doc_id", "line_no"), membership_filter(where, "at"))
-    wanted = near.join(where, near.doc_id.eqNullSafe(where.at_doc) & (near.line_no == where.at_line))
-    right = (F.xxhash64(F.lit(1), "line") == F.col("k1")) & (F.xxhash64(F.lit(2), "line") == F.col("k2"))
-    held = materialize(wanted.filter(right).select("k1", "k2", "place", "line").dropDuplicates(["k1", "k2"]), "candidate-lines")
-    return materialize(_verified(_shared_variants(held, min_words), held), "line-links")
-
-
-def _shared_variants(lines: DataFrame, min_words: int) -> DataFrame:
-    """k1, k2, earliest: for each line the earliest lines that share one of its variants, unverified.
-
-    ``n`` is the number of words before one is left out, ``at`` the place of that word, -1 for a whole line.
-    """
-    placed = lines.select("place", "line").repartition("place").select("place", F.size(F.split("line", " ")).alias("words"), F.posexplode(F.split("line", " ")).alias("at", "word"))
-    of_line = W.partitionBy("place")
-    run = of_line.orderBy("at")
-    here, moved = F.xxhash64("at", "word"), F.xxhash64(F.col("at") - 1, "word")
-    before = F.coalesce(F.bit_xor(here).over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    after = F.bit_xor(moved).over(of_line).bitwiseXOR(F.bit_xor(moved).over(run.rowsBetween(W.unboundedPreceding, 0)))
-    # One row per word left out, and one for the whole line with the last word.
-    less_one = F.struct(F.col("words").alias("n"), "at", F.col("left_out").alias("v"))
-    whole = F.struct((F.col("words") + 1).alias("n"), F.lit(-1).alias("at"), F.col("whole").alias("v"))
-    rows = placed.withColumn("left_out", before.bitwiseXOR(after)).withColumn("whole", before.bitwiseXOR(here)).select("place", F.explode(
-        F.when(F.col("at") == F.col("words") - 1, F.array(less_one, whole)).otherwise(F.array(less_one))).alias("v"))
-    variants = materialize(rows.select("place", "v.n", "v.at", "v.v").filter(F.col("n") >= min_words), "variants")
+    wanted = scratch.write(likely.join(shared, "half").select("k1", "k2").distinct(), "wanted")
+    near = possible_members(lines, F.col("k1"), membership_filter(wanted, "k1"))
+    held = scratch.write(near.join(wanted, ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("place").alias("place"), F.first("line").alias("line")), "candidates")
+    pairs = _shared_variants(held, min_words, scratch)
+    return scratch.write(_verified(pairs, held), "links")
+
+
+def _running_xor(values: Column) -> Column:
+    """Of an array of longs the XORs of what lies before each place, and of all of it: one entry more. By blocks, so that long arrays cost no square."""
+    def scan(items: Column, last: Callable[[Column], Column]) -> Column:
+        return F.aggregate(items, F.array(F.lit(0).cast("bigint")), lambda done, x: F.concat(done, F.array(F.element_at(done, -1).bitwiseXOR(last(x)))))
+    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / SCAN).cast("int"))
+    blocks = F.transform(starts, lambda b: scan(F.slice(values, b * SCAN + 1, F.lit(SCAN)), lambda x: x))
+    offsets = scan(blocks, lambda block: F.element_at(block, -1))
+    # A block's last entry is the next one's first.
+    inner = F.flatten(F.zip_with(blocks, F.slice(offsets, F.lit(1), F.size(blocks)), lambda block, o: F.transform(F.slice(block, F.lit(1), F.size(block) - 1), lambda x: x.bitwiseXOR(o))))
+    return F.concat(inner, F.array(F.element_at(offsets, -1)))
+
+
+def _variants(lines: DataFrame, min_words: int) -> DataFrame:
+    """``lines`` times their variants n, at, v: the number of words before one is left out, its place (-1 for none), what is left."""
+    words = F.split("line", " ")
+    # Words before the gap keep their places, those after it move up by one.
+    rows = lines.withColumn("here", F.transform(words, lambda w, i: F.xxhash64(i, w))).withColumn("moved", F.transform(words, lambda w, i: F.xxhash64(i - 1, w)))
+    rows = rows.withColumn("before", _running_xor(F.col("here"))).withColumn("passed", _running_xor(F.col("moved"))).withColumn("n", F.size("here"))
+    all_moved = F.element_at("passed", -1)
+    # What depends on the whole line stays outside of the functions of its words, which would compute it for each.
+    gaps = F.zip_with(F.slice("before", F.lit(1), F.col("n")), F.slice("passed", F.lit(2), F.col("n")), lambda x, y: x.bitwiseXOR(y))
+    whole = F.array(F.element_at("before", -1).bitwiseXOR(all_moved))
+    out = rows.select(*lines.columns, F.col("n").alias("words"), all_moved.alias("all_moved"), F.posexplode(F.concat(gaps, whole)).alias("place_out", "left"))
+    last = F.col("place_out") == F.col("words")
+    return out.select(*lines.columns, (F.col("words") + last.cast("int")).alias("n"), F.when(last, -1).otherwise(F.col("place_out")).alias("at"),
+                      F.col("left").bitwiseXOR(F.col("all_moved")).alias("v")).filter(F.col("n") >= min_words)
+
+
+def _shared_variants(held: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """k1, k2, earliest: for each line the earliest lines that share one of its variants, unverified."""
     key = F.xxhash64("n", "v")
-    line = F.xxhash64("place")
-    several = materialize(variants.groupBy(key.alias("key")).agg(F.min(line).alias("low"), F.max(line).alias("high")).filter("low <> high").select("key"), "shared-variants")
-    likely = possible_members(variants.withColumn("key", key), F.col("key"), membership_filter(several, "key"))
-    kept = materialize(likely.join(several, "key", "left_semi").drop("key"), "variant-rows")
+    few = held.coalesce(held.sparkSession.sparkContext.defaultParallelism) if held.rdd.getNumPartitions() > held.sparkSession.sparkContext.defaultParallelism else held
+    # Written, as they cost more than to read them twice.
+    variants = scratch.write(_variants(few.select("k1", "k2", "place", "line"), min_words).drop("line").withColumn("key", key), "all-variants")
+    several = scratch.write(variants.groupBy("key").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high").select("key"), "shared-variants")
+    likely = possible_members(variants, F.col("key"), membership_filter(several, "key"))
+    kept = scratch.write(likely.join(several, "key").drop("key"), "variants")
+    scratch.drop("all-variants")
     # The same place left out on both sides is a substitution; a whole line on one side, an insertion or deletion.
     cut, full = kept.filter("at >= 0"), kept.filter("at < 0")
-    pairs = (_with_earliest(cut, cut, ["n", "v", "at"]).unionByName(_with_earliest(cut, full, ["n", "v"])).unionByName(_with_earliest(full, cut, ["n", "v"])))
-    return pairs.distinct().join(lines.select("k1", "k2", "place"), "place").select("k1", "k2", "earliest")
+    return (_with_earliest(cut, cut, ["n", "v", "at"]).unionByName(_with_earliest(cut, full, ["n", "v"])).unionByName(_with_earliest(full, cut, ["n", "v"]))).distinct()
 
 
 def _with_earliest(lines: DataFrame, others: DataFrame, variant: list[str]) -> DataFrame:
     least = others.groupBy(*variant).agg(F.min("place").alias("earliest"))
-    return lines.select("place", *variant).join(least, variant).filter(F.col("earliest") < F.col("place")).select("place", "earliest")
+    return lines.select("k1", "k2", "place", *variant).join(least, variant).filter(F.col("earliest") < F.col("place")).select("k1", "k2", "earliest")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -134,10 +167,13 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text: each document's kept lines in order, as one text; '' if none is kept, null texts stay null."""
-    kept = linked_lines(docs, min_words).filter("keep").select("doc_id", "line_no")
-    raw = docs.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    lines = raw.select("doc_id", "line_no", "raw").join(kept.distinct(), ["doc_id", "line_no"], "left_semi")
-    texts = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("rows"))
-    return docs.select("doc_id", "text").join(texts, "doc_id", "left").select(
-        "doc_id", F.when(F.col("text").isNotNull(), F.coalesce(F.array_join(F.transform("rows", lambda r: r["raw"]), "\n"), F.lit(""))).alias("text"))
+    """doc_id, text: each row's kept lines in order, as one text; '' if none is kept, null texts stay null.
+
+    Rows that repeat an id are a row each, null ids too.
+    """
+    lines = _plain(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "row", "doc_id")
+    placed = _with_first(lines, _firsts(split_lines(docs), min_words))
+    # A null text has one row, without a line.
+    texts = placed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("line_no").alias("n"),
+                                      F.array_sort(F.collect_list(F.when(F.col("keep") | (F.col("line") == ""), F.struct("line_no", "raw")))).alias("rows"))
+    return texts.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.transform("rows", lambda r: r["raw"]), "\n")).alias("text"))

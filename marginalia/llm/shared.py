@@ -54,7 +54,10 @@ def membership_filter(keys: DataFrame, key: str) -> DataFrame:
 
 
 def possible_members(rows: DataFrame, key: Column, found: DataFrame) -> DataFrame:
-    """The rows whose hash may be in the filter: all members, and some others. Spares a shuffle of rows that cannot join."""
+    """The rows whose hash may be in the filter: all members, and some others. Spares a shuffle of rows that cannot join.
+
+    What follows must be an inner join: Spark moves a semi-join below this one, and then shuffles every row.
+    """
     place = F.pmod(key, F.lit(FILTER_BITS))
     inside = (place % _FILTER_ROW).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("filter_bits"), F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

@@ -84,3 +84,19 @@ def test_texts_of_kept_lines(documents):
     rows = [(1, "a b c d e\nlast  line"), (2, "a b c d x\n\nnew"), (3, "last line"), (4, None)]
     got = {r.doc_id: r.text for r in lines.deduplicated(documents(rows)).collect()}
     assert got == {1: "a b c d e\nlast  line", 2: "\nnew", 3: "", 4: None}
+
+
+def test_texts_of_repeated_and_null_ids(documents):
+    rows = [(1, "a b c d e\nx y"), (1, "a b c d e\nx y"), (1, "another row of one\nx y"), (None, "none has this line"), (None, "x y\n\nnor this one"), (None, None)]
+    got = sorted((str(r.doc_id), r.text or "-") for r in lines.deduplicated(documents(rows).withColumn("row", F.lit(7)).withColumn("line_no", F.lit("z"))).collect())
+    assert got == sorted([("1", "a b c d e\nx y"), ("1", "a b c d e\nx y"), ("1", "another row of one\nx y"), ("None", "none has this line"), ("None", "\nnor this one"), ("None", "-")])
+
+
+def test_running_xor(spark):
+    values = [[1], list(range(1, 65)), list(range(7, 200)), [5] * 129]
+    rows = spark.createDataFrame([(v,) for v in values], "v array<bigint>").select("v", lines._running_xor(F.col("v")).alias("x")).collect()
+    for r in rows:
+        want = [0]
+        for x in r.v:
+            want.append(want[-1] ^ x)
+        assert r.x == want
