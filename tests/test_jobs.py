@@ -200,6 +200,23 @@ def test_digest_stream_across_batches(spark, tmp_path):
     assert got[5] == "\n".join(f"user: m{i}" for i in range(5)) and got[15] == "\n".join(f"user: m{i}" for i in range(5, 15))
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_digests_of_a_table_of_one_or_more_files(spark, tmp_path, files):
+    """A table is a file or a folder of files; one without five messages of a conversation has no digest."""
+    from marginalia.plans.job_queries import stream_digests
+    for name, turns in (("long", 7), ("short", 3)):
+        rows = [(c, t, "user", f"c{c} m{t}") for c in range(4) for t in range(turns)]
+        table = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+        path = tmp_path / name / "conversations.parquet"
+        if files == 1:
+            path.parent.mkdir()
+            table.toPandas().to_parquet(path)
+        else:
+            table.repartition(files).write.parquet(str(path))
+        got = {(r.conversation_id, r.message_count, r.digest) for r in stream_digests(spark, str(path.parent)).collect()}
+        assert got == {(c, 5, "\n".join(f"user: c{c} m{t}" for t in range(5))) for c in range(4) if turns >= 5}
+
+
 def test_memory_stream_keeps_capacity(spark, tmp_path):
     src, root, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
     schema = "id BIGINT, memory_type STRING, content STRING, importance INT, created_at TIMESTAMP"
