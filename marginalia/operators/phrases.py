@@ -1,17 +1,23 @@
-"""Phrases: words side by side in one field, found by intersecting their positions.
+"""Phrases: words side by side in one field.
 
-A query token with a separator inside (``foo_bar``) is a phrase of its words. Only the words of some phrase are placed, only papers
-that hold a phrase's rarest word are looked at, and a phrase begins where ``position - offset`` is the same for all its words.
+A query token with a separator inside (``foo_bar``) is a phrase of its words. Phrases are cut into pieces of at most three words, which are
+looked up among the runs of words of each paper where its text lies; only what is found is shuffled. A phrase begins where
+``position - offset`` is the same for all its pieces.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.functions import text as X
-from marginalia.session import materialize
+from marginalia.session import BROADCAST_BYTES, materialize
 
 FIELDS = ("title", "authors", "abstract")
+# Words of a piece, and pieces sent to the executors at once; more of them take another scan of the papers.
+PIECE = 3
+PIECES = 200_000
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
@@ -27,12 +33,77 @@ def word_positions(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFra
     return placed.select("paper_id", "field", F.posexplode("tokens").alias("position", "term"))
 
 
-def phrase_counts(docs: DataFrame, phrases: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def phrase_counts(docs: DataFrame, phrases: DataFrame, fields: tuple[str, ...] = FIELDS, most: int = PIECES) -> DataFrame:
     """phrase, paper_id, tf: how often each of the distinct ``phrases(phrase, words)`` occurs in a paper; overlapping ones count each.
 
-    Papers that lack a phrase have no row. A word in most papers costs its positions in the papers of the phrase's
-    rarest word only; those are joined by (paper, word), which spreads a long paper over its words.
+    Papers that lack a phrase have no row, nor has a null id. Rows that share an id are one paper whose words lie over each other.
     """
+    repeated = materialize(docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and id is not null").select("id"), "repeated")
+    if repeated.isEmpty():
+        return _piece_counts(docs, phrases, fields, most)
+    shared = docs.join(repeated, "id", "left_semi")
+    apart = _piece_counts(docs, phrases, fields, most).join(repeated.withColumnRenamed("id", "paper_id"), "paper_id", "left_anti")
+    return apart.select("phrase", "paper_id", "tf").unionByName(_position_counts(shared, phrases, fields))
+
+
+def phrase_pieces(phrases: DataFrame) -> DataFrame:
+    """phrase, pieces (their number), offset, width, piece: runs of PIECE words that cover the phrase, the last of which may overlap the one
+    before; a shorter phrase is one piece."""
+    n = F.size("words")
+    last = F.greatest(n - PIECE, F.lit(0))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(PIECE)), F.array(last)))
+    cut = phrases.filter(n > 0).select("phrase", "words", F.size(starts).alias("pieces"), F.explode(starts).alias("offset"))
+    piece = F.slice("words", F.col("offset") + 1, F.lit(PIECE))
+    return cut.select("phrase", "pieces", "offset", F.size(piece).alias("width"), F.array_join(piece, " ").alias("piece"))
+
+
+def word_runs(docs: DataFrame, widths: list[int], fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """paper_id, field, position, piece of every run of so many words of the fields of ``docs(id, ...)``."""
+    tokens: Column = F.array(*[X.words(F.col(f)) for f in fields])
+    placed = docs.select(F.col("id").alias("paper_id"), F.posexplode(tokens).alias("field", "tokens"))
+
+    def runs(width: int) -> Column:
+        if width == 1:
+            return F.transform("tokens", lambda w, i: F.struct(i.alias("position"), w.alias("piece")))
+        ends = F.slice("tokens", width, F.greatest(F.size("tokens"), F.lit(1)))
+        return F.transform(ends, lambda w, i: F.struct(i.alias("position"), F.array_join(F.slice("tokens", i + 1, F.lit(width)), " ").alias("piece")))
+    # One list per width: the runs of all widths are never held together.
+    rows = [placed.select("paper_id", "field", F.explode(runs(w)).alias("run")).select("paper_id", "field", "run.position", "run.piece") for w in widths]
+    out = rows[0]
+    for other in rows[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def _piece_counts(docs: DataFrame, phrases: DataFrame, fields: tuple[str, ...], most: int) -> DataFrame:
+    """phrase, paper_id, tf of papers with an id of their own. Pieces go to the executors in parts of at most ``most`` rows."""
+    pieces = materialize(phrase_pieces(phrases), "pieces")
+    docs = docs.filter("id is not null")
+    # One row per width, at most PIECE of them.
+    found = pieces.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("piece") + F.octet_length("phrase")).alias("bytes"), F.max("pieces").alias("pieces")).collect()
+    if not found:
+        return _position_counts(docs.limit(0), phrases, fields)
+    parts = max(math.ceil(sum(r["n"] for r in found) / most), math.ceil(sum(r["bytes"] for r in found) / BROADCAST_BYTES))
+    # A whole phrase goes to one part, so a part finds all its pieces.
+    met = []
+    for part in range(parts):
+        own = pieces.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part) if parts > 1 else pieces
+        met.append(word_runs(docs, sorted(r["width"] for r in found), fields).join(F.broadcast(own.drop("width")), "piece"))
+    single = [m.filter("pieces = 1").groupBy("phrase", "paper_id").agg(F.count(F.lit(1)).alias("tf")) for m in met]
+    if max(r["pieces"] for r in found) > 1:
+        several = [m.filter("pieces > 1").groupBy("phrase", "pieces", "paper_id", "field", (F.col("position") - F.col("offset")).alias("begin"))
+                   .agg(F.count(F.lit(1)).alias("together")).filter("together = pieces").groupBy("phrase", "paper_id").agg(F.count(F.lit(1)).alias("tf")) for m in met]
+    else:
+        several = []
+    out, *others = single + several
+    for other in others:
+        out = out.unionByName(other)
+    return out
+
+
+def _position_counts(docs: DataFrame, phrases: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """phrase, paper_id, tf by the positions of single words over all rows of a paper. Only the words of some phrase are placed, and only papers
+    that hold a phrase's rarest word are joined, by (paper, word)."""
     parts = phrases.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
     placed = word_positions(docs, fields).join(parts.select("term").distinct(), "term", "left_semi")
     placed = materialize(placed, "positions")

@@ -82,6 +82,35 @@ def test_equals_brute_force(spark, hot):
     assert {(r["query_id"], r["rank"], r["paper_id"]) for r in found.collect()} == brute_force(rows, queries)
 
 
+@pytest.mark.parametrize("most", [P.PIECES, 5])
+def test_phrases_of_any_length_in_parts(spark, most):
+    """Phrases longer than a piece, of repeated words, and more pieces than go out at once."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("ab", k=rng.randrange(12))), rng.choice([None, "a b a b"]), " ".join(rng.choices("abc", k=rng.randrange(40)))) for i in range(40)]
+    wanted = {tuple(rng.choices("ab", k=n)) for n in (1, 2, 3, 4, 5, 6, 7, 8) for _ in range(4)}
+    phrases = spark.createDataFrame([(" ".join(p), list(p)) for p in wanted], "phrase STRING, words ARRAY<STRING>")
+    found = P.phrase_counts(papers_of(spark, rows + [(None, "a b", None, "a a")]), phrases, most=most)
+    fields = {i: [words(t), words(a), words(x)] for i, t, a, x in rows}
+    want = {(" ".join(p), i): places(f, list(p)) for p in wanted for i, f in fields.items()}
+    assert {(r.phrase, r.paper_id): r.tf for r in found.collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_words_of_no_whole_phrase_are_not_moved(spark, monkeypatch):
+    """What is written and shuffled is what was found, not the places of every word that some phrase has."""
+    rows = [(i, "a b", None, "x a y b z " * 50) for i in range(20)]
+    phrases = spark.createDataFrame([("a b", ["a", "b"]), ("z x", ["z", "x"]), ("b a", ["b", "a"])], "phrase STRING, words ARRAY<STRING>")
+    written, whole = [], P.materialize
+
+    def counted(df, label="table"):
+        out = whole(df, label)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(P, "materialize", counted)
+    found = P.phrase_counts(papers_of(spark, rows), phrases)
+    assert {(r.phrase, r.paper_id, r.tf) for r in found.collect()} == {("a b", i, 1) for i in range(20)} | {("z x", i, 49) for i in range(20)}
+    assert sum(written) <= 10
+
+
 def test_empty_tables(spark):
     none = papers_of(spark, [(1, "a", None, None)]).limit(0)
     q = spark.createDataFrame([(1, "a_b")], "query_id BIGINT, text STRING")
