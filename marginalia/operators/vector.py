@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from marginalia.schemas import all_of
 from marginalia.session import bounded_rows, materialize
 
-# Rows per block of the grid; one task holds one block of each side.
+# Rows per block of the products.
 QUERY_BLOCK = 2048
 VECTOR_BLOCK = 65536
+# Most values (rows x dimension) a task holds of one side, and most scores it holds at once: 32 MB each as doubles.
+HELD_VALUES = 4_000_000
+HELD_SCORES = 4_000_000
 # Most query values (rows x dimension) sent to every executor: 8 M floats, 32 MB.
 BROADCAST_VALUES = 8_000_000
 
@@ -41,26 +44,55 @@ def _unit(rows) -> np.ndarray:
     return matrix / length
 
 
-def _best(query_ids, queries: np.ndarray, vector_ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """Best ``k`` vectors of this block for each query, ties by id."""
+def _best(query_ids, queries: np.ndarray, vector_ids: np.ndarray, vectors: np.ndarray, k: int, query_block: int = QUERY_BLOCK) -> Iterator[pd.DataFrame]:
+    """Best ``k`` vectors of this block for each query, ties by id; the scores of a slice of the queries are held at a time."""
     order = np.argsort(vector_ids, kind="stable")
     ids, vectors = vector_ids[order], vectors[order]
-    scores = np.round(queries @ vectors.T, 9)
     keep = min(k, len(ids))
-    if keep < len(ids):
-        # Everything at or above the k-th score, so that ties at the cut are resolved by id.
-        cut = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
-    else:
-        cut = np.full(len(queries), -np.inf)
-    out_q, out_v, out_s = [], [], []
-    for i, row in enumerate(scores):
-        cand = np.flatnonzero(row >= cut[i])
-        cand = cand[np.argsort(-row[cand], kind="stable")][:keep]
-        out_q.extend([query_ids[i]] * len(cand))
-        out_v.append(ids[cand])
-        out_s.append(row[cand])
-    return pd.DataFrame({"query_id": out_q, "vector_id": np.concatenate(out_v) if out_v else [],
-                         "score": np.concatenate(out_s) if out_s else []})
+    step = max(1, min(query_block, HELD_SCORES // max(len(ids), 1)))
+    for at in range(0, len(queries), step):
+        scores = queries[at:at + step] @ vectors.T
+        np.round(scores, 9, out=scores)
+        if keep < len(ids):
+            # Everything at or above the k-th score, so that ties at the cut are resolved by id.
+            cut = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
+        else:
+            cut = np.full(len(scores), -np.inf)
+        out_q, out_v, out_s = [], [], []
+        for i, row in enumerate(scores):
+            cand = np.flatnonzero(row >= cut[i])
+            cand = cand[np.argsort(-row[cand], kind="stable")][:keep]
+            out_q.extend([query_ids[at + i]] * len(cand))
+            out_v.append(ids[cand])
+            out_s.append(row[cand])
+        yield pd.DataFrame({"query_id": out_q, "vector_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+
+
+def _blocks(batches: Iterator[pd.DataFrame], block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of several batches together, about ``block`` rows or HELD_VALUES values."""
+    ids, units, held = [], [], 0
+    for pdf in batches:
+        dim = max(len(pdf["embedding"].iloc[0]), 1) if len(pdf) else 1
+        step = max(1, min(block, HELD_VALUES // dim))
+        for at in range(0, len(pdf), step):
+            part = pdf.iloc[at:at + step]
+            if held and held + len(part) > step:
+                yield np.concatenate(ids), np.concatenate(units)
+                ids, units, held = [], [], 0
+            ids.append(part["vector_id"].to_numpy())
+            units.append(_unit(part["embedding"]))
+            held += len(part)
+    if held:
+        yield np.concatenate(ids), np.concatenate(units)
+
+
+def _cells(rows: tuple[int, int], blocks: tuple[int, int], dim: int, cores: int) -> tuple[int, int]:
+    """Parts of either side: enough that two cells meet a core if there are blocks for that, more where a part would exceed
+    VECTOR_BLOCK rows or HELD_VALUES."""
+    most = max(1, min(VECTOR_BLOCK, HELD_VALUES // dim))
+    side = math.ceil(math.sqrt(2 * cores))
+    nq, nv = (max(1, math.ceil(n / most), min(math.ceil(n / block), side)) for n, block in zip(rows, blocks))
+    return nq, nv
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, broadcast_values: int = BROADCAST_VALUES,
@@ -68,10 +100,10 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, broadcast_value
     """``query_id, rank, vector_id, score`` for ``queries(query_id, embedding)`` and
     ``vectors(vector_id, embedding)``; score is the cosine, rounded to 9 digits.
 
-    Each task multiplies blocks and emits at most ``k`` rows per query; a window merges them.
+    Each task multiplies blocks and emits at most ``k`` rows per query and block of vectors; a window merges them.
     A query table within ``broadcast_values`` is sent to the executors and the vectors are scanned
-    where they lie, without a shuffle. A larger one is laid out as a grid: query block by vector
-    block, each cell one task of bounded size.
+    where they lie, without a shuffle. A larger one is laid out as a grid, each cell one task of bounded size. A cell holds many
+    blocks of either side, as each side is copied once per cell it meets; products are bounded in queries and scores.
     """
     types = {"q": queries.schema["query_id"].dataType.simpleString(),
              "v": vectors.schema["vector_id"].dataType.simpleString()}
@@ -88,14 +120,13 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, broadcast_value
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix = shared.value
-            for pdf in batches:
-                if matrix is not None and len(pdf):
-                    yield _best(ids, matrix, pdf["vector_id"].to_numpy(), _unit(pdf["embedding"]), k)
+            if matrix is not None:
+                for vector_ids, units in _blocks(batches, vector_block):
+                    yield from _best(ids, matrix, vector_ids, units, k, query_block)
 
         parts = vectors.mapInPandas(scan, schema)
     else:
-        nq = max(1, math.ceil(queries.count() / query_block))
-        nv = max(1, math.ceil(vectors.count() / vector_block))
+        nq, nv = _cells((queries.count(), vectors.count()), (query_block, vector_block), dim, queries.sparkSession.sparkContext.defaultParallelism)
 
         def grid(df, own, other, n_own, n_other):
             key = df.columns[0]
@@ -105,8 +136,8 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, broadcast_value
         def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"query_id": [], "vector_id": [], "score": []})
-            return _best(left["query_id"].tolist(), _unit(left["embedding"]),
-                         right["vector_id"].to_numpy(), _unit(right["embedding"]), k)
+            return pd.concat(_best(left["query_id"].tolist(), _unit(left["embedding"]),
+                                   right["vector_id"].to_numpy(), _unit(right["embedding"]), k, query_block))
 
         tasks = nq * nv  # one cell each
         parts = (grid(queries, "qb", "vb", nq, nv).repartition(tasks, "qb", "vb").groupBy("qb", "vb")

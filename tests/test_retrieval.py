@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,27 @@ def test_vector_layouts_agree(spark):
     assert all(0 <= r["rank"] <= 5 for r in near)
 
 
+def test_products_are_bounded_and_the_grid_copies_little(spark, monkeypatch):
+    """However many queries meet a block of vectors, a slice of the scores is held; small blocks do not multiply the rows moved."""
+    rng = np.random.default_rng(2)
+    qs, vecs = rng.normal(size=(300, 4)), rng.normal(size=(500, 4))
+    monkeypatch.setattr(V, "HELD_SCORES", 5000)
+    ids = np.array([f"v{i:03d}" for i in range(500)], dtype=object)
+    parts = list(V._best(list(range(300)), V._unit(qs), ids, V._unit(vecs), 3))
+    assert len(parts) == 30 and all(len(p) == 30 for p in parts)
+    blocks = list(V._blocks(iter([pd.DataFrame({"vector_id": ids[at:at + 70], "embedding": list(vecs[at:at + 70])}) for at in range(0, 500, 70)]), 200))
+    assert [len(i) for i, _ in blocks] == [140, 140, 140, 80] and sorted(np.concatenate([i for i, _ in blocks])) == sorted(ids)
+    monkeypatch.undo()
+    v = spark.createDataFrame(list(zip(ids.tolist(), vecs.tolist())), "vector_id STRING, embedding ARRAY<DOUBLE>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(qs)], "query_id BIGINT, embedding ARRAY<DOUBLE>")
+    found = V.vector_top_k(q, v, 3, broadcast_values=0, query_block=4, vector_block=5)
+    assert {(r.query_id, r["rank"]): r.vector_id for r in found.collect()} == {
+        (i, r + 1): ids[j] for i, row in enumerate(np.round(V._unit(qs) @ V._unit(vecs).T, 9)) for r, j in enumerate(np.lexsort((np.arange(500), -row))[:3])}
+    # Blocks of 512 of 100 000 rows would be 38 416 cells and 196 copies of every row.
+    assert V._cells((100_000, 100_000), (512, 512), 64, 12) == (5, 5)
+    assert V._cells((600_000, 600_000), (512, 512), 64, 12) == (10, 10) and V._cells((300, 500), (512, 512), 4, 8) == (1, 1)
+
+
 def test_metadata_filter(spark):
     df = spark.createDataFrame([(1, 2000), (2, 2010), (3, None)], "paper_id BIGINT, year INT")
     ids = lambda f: sorted(r["paper_id"] for r in df.filter(V.metadata_filter(f)).collect())
