@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import copies, decontaminate, mixing, sharding, toxicity
+from marginalia.llm import decontaminate, mixing, sharding, simhash, toxicity
 from marginalia.llm.queries import SHARD_BYTES, table
 from marginalia.llm.shared import without
 from marginalia.session import checkpoint_root, ship_package
@@ -23,13 +23,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents similar by 0.8 or more in five-word shingles the one with the smallest id stays.
+    """Of each component of documents whose SimHash fingerprints link, as in op6, the one with the smallest id stays.
 
-    Documents without a word are equal and so leave one. Rows with a null id stay; rows that repeat
+    Documents without a word share a fingerprint and so leave one. Rows with a null id stay; rows that repeat
     an id stay or go together.
     """
     ship_package(spark)
-    found = copies.near_copies(docs)
+    found = simhash.near_duplicates(docs)
     return without(docs, found.filter("doc_id <> component_id"))
 
 

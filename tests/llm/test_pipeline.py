@@ -67,6 +67,16 @@ def test_one_document_of_each_group_stays(stages):
     assert {r.doc_id for r in stages[1].collect()} == want and len(want) < len(before)
 
 
+def test_near_copies_are_those_of_op6(spark, tmp_path):
+    """Repeated words vote once each occurrence, so two texts with few common shingles may have like fingerprints."""
+    base, rng = "a b c d e f g " * 400, random.Random(4)
+    rows = [(1, base), (2, base + " ".join(f"w{i}" for i in range(30)))] + [(i, " ".join(f"{rng.random()}" for _ in range(30))) for i in range(3, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {i for i, (_, root) in components(rows).items() if i == root}
+    assert want == {1, *range(3, 9)}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()} == want
+
+
 def test_contaminated_documents_go(stages, tables):
     before = [(r.doc_id, r.text) for r in stages[1].collect() if r.doc_id != 402]
     bad = {d for d, _ in contaminated(before, tables[2])}
