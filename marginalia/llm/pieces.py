@@ -139,8 +139,11 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", head_words
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in slices(texts):
-                words = [find(t) for t in texts[i:j]]
-                rest = list({w for found in words for w in found if w not in common_ids})
+                # Words are found twice, here and below: those of one text are held, never those of the slice.
+                rest = set()
+                for t in texts[i:j]:
+                    rest.update(w for w in find(t) if w not in common_ids)
+                rest = list(rest)
                 ids_of, restored = {}, {}
                 for at in range(0, len(rest), SEGMENT):
                     part = rest[at:at + SEGMENT]
@@ -148,7 +151,8 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", head_words
                     ids_of.update(zip(part, map(packed_ids, ids)))
                     restored.update((w, r) for w, r in zip(part, model.restored(part, ids)) if r != w.replace(MARK, " "))
                 out = []
-                for t, found in zip(texts[i:j], words):
+                for t in texts[i:j]:
+                    found = find(t)
                     ids = b"".join([begin, *[common_ids.get(w) or ids_of[w] for w in found], end])
                     if common_restored or restored:
                         decoded = "".join([common_restored.get(w) or restored.get(w) or w.replace(MARK, " ") for w in found])
