@@ -43,7 +43,7 @@ def phrase_counts(docs: DataFrame, phrases: DataFrame, fields: tuple[str, ...] =
         return _piece_counts(docs, phrases, fields, most)
     shared = docs.join(repeated, "id", "left_semi")
     apart = _piece_counts(docs, phrases, fields, most).join(repeated.withColumnRenamed("id", "paper_id"), "paper_id", "left_anti")
-    return apart.select("phrase", "paper_id", "tf").unionByName(_position_counts(shared, phrases, fields))
+    return apart.select("phrase", "paper_id", "tf").unionByName(_position_counts(docs, shared, phrases, fields))
 
 
 def phrase_pieces(phrases: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def _piece_counts(docs: DataFrame, phrases: DataFrame, fields: tuple[str, ...],
     # One row per width, at most PIECE of them.
     found = pieces.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("piece") + F.octet_length("phrase")).alias("bytes"), F.max("pieces").alias("pieces")).collect()
     if not found:
-        return _position_counts(docs.limit(0), phrases, fields)
+        return _position_counts(docs.limit(0), docs.limit(0), phrases, fields)
     parts = max(math.ceil(sum(r["n"] for r in found) / most), math.ceil(sum(r["bytes"] for r in found) / BROADCAST_BYTES))
     # A whole phrase goes to one part, so a part finds all its pieces.
     met = []
@@ -101,14 +101,14 @@ def _piece_counts(docs: DataFrame, phrases: DataFrame, fields: tuple[str, ...],
     return out
 
 
-def _position_counts(docs: DataFrame, phrases: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """phrase, paper_id, tf by the positions of single words over all rows of a paper. Only the words of some phrase are placed, and only papers
-    that hold a phrase's rarest word are joined, by (paper, word)."""
+def _position_counts(docs: DataFrame, shared: DataFrame, phrases: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """phrase, paper_id, tf of the papers ``shared`` by the positions of single words over all rows of a paper. Only the words of some phrase
+    are placed, and only papers that hold a phrase's rarest word among ``docs`` are joined, by (paper, word)."""
     parts = phrases.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
-    placed = word_positions(docs, fields).join(parts.select("term").distinct(), "term", "left_semi")
-    placed = materialize(placed, "positions")
+    terms = materialize(parts.select("term").distinct(), "terms")
+    df = word_positions(docs, fields).join(terms, "term", "left_semi").select("term", "paper_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    placed = materialize(word_positions(shared, fields).join(terms, "term", "left_semi"), "positions")
     papers = placed.groupBy("term", "paper_id").agg(F.count(F.lit(1)).alias("held"))
-    df = papers.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # A phrase with a word no paper holds has no row; the least word of a tie is taken.
     known = parts.join(df, "term")
     rarest = (known.groupBy("phrase", "n").agg(F.count(F.lit(1)).alias("found"), F.min_by("term", F.struct("df", "term")).alias("term"))
