@@ -9,11 +9,9 @@ from marginalia.functions import frontmatter as M, text as X
 
 def front_candidates(fronts: DataFrame) -> DataFrame:
     """``(paper_id, text)`` to one metadata candidate per row."""
-    titled = fronts.withColumn("_t", M.infer_title(F.col("text")))
-    return (titled.withColumn("_a", M.infer_authors(F.col("text"), F.col("_t.line")))
+    return (fronts.withColumn("_f", M.front_matter(F.col("text")))
             .select("paper_id", X.first_doi(F.col("text")).alias("doi"), X.first_year(F.col("text")).alias("year"),
-                    F.col("_t.title").alias("title"), F.col("_t.line").alias("title_line"),
-                    F.col("_a.authors").alias("authors"), F.col("_a.line").alias("authors_line")))
+                    "_f.title", "_f.title_line", "_f.authors", "_f.authors_line"))
 
 
 def merge_candidates(base: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
@@ -28,16 +26,19 @@ def merge_candidates(base: DataFrame, first: DataFrame, second: DataFrame) -> Da
     j = base.join(side(first, "a"), "paper_id", "left").join(side(second, "b"), "paper_id", "left")
     n_authors = lambda c: F.when(F.col(c).isNull(), 0).otherwise(
         F.size(F.filter(F.split(c, ","), lambda p: X.non_blank(p))))
-    na, nb = n_authors("a_authors"), n_authors("b_authors")
-    authors = (F.when((na == 0) & (nb == 0), F.col("authors"))
-               .when((na >= nb) & X.truthy(F.col("a_authors")).isNotNull(), F.col("a_authors"))
-               .when(X.truthy(F.col("b_authors")).isNotNull(), F.col("b_authors")).otherwise(F.col("authors")))
+    authors = X.let(F.struct(n_authors("a_authors").alias("a"), n_authors("b_authors").alias("b")), lambda n: (
+        F.when((n["a"] == 0) & (n["b"] == 0), F.col("authors"))
+        .when((n["a"] >= n["b"]) & X.truthy(F.col("a_authors")).isNotNull(), F.col("a_authors"))
+        .when(X.truthy(F.col("b_authors")).isNotNull(), F.col("b_authors")).otherwise(F.col("authors"))))
     rank = lambda p: M.title_quality(F.col(f"{p}_title")) - F.coalesce(f"{p}_title_line", F.lit(M.NO_LINE)) * 0.01
     best = F.when(rank("a") >= rank("b"), F.col("a_title")).otherwise(F.col("b_title"))
-    better = X.truthy(best).isNotNull() & (
-        X.truthy(F.col("title")).isNull() | (M.title_quality(best) > M.title_quality(F.col("title"))))
+
+    def kept(best):
+        better = X.truthy(best).isNotNull() & (
+            X.truthy(F.col("title")).isNull() | (M.title_quality(best) > M.title_quality(F.col("title"))))
+        return F.when(better, best).otherwise(F.col("title"))
     return j.select(
-        "paper_id", F.when(better, best).otherwise(F.col("title")).alias("title"), authors.alias("authors"),
+        "paper_id", X.let(best, kept).alias("title"), authors.alias("authors"),
         F.coalesce(F.nullif("year", F.lit(0)), F.nullif("a_year", F.lit(0)), F.nullif("b_year", F.lit(0))).alias("year"),
         F.coalesce(X.truthy(F.col("doi")), X.truthy(F.col("a_doi")), X.truthy(F.col("b_doi"))).alias("doi"))
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from marginalia.functions import answers as A, frontmatter as FM, text as X
+from marginalia.operators import metadata as MD
 
 
 def one(spark, expr, **cols):
@@ -136,3 +137,32 @@ def test_tags(spark):
 def test_chunk_types(spark):
     assert one(spark, X.chunk_type(F.col("t")), t="Results\n\nABSTRACT of it") == "abstract"
     assert one(spark, X.chunk_type(F.col("t")), t="a\n\nb\n\nmethods") == "paragraph"
+
+
+def test_strip_takes_the_white_space_of_the_pattern(spark):
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c,) for c in chars], "c STRING").select("c", X.strip(F.concat("c", F.lit("a b"), "c")).alias("new"), F.regexp_replace(
+        F.concat("c", F.lit("a b"), "c"), rf"(?U)\A{X.WS}+|{X.WS}+\z", "").alias("old"))
+    assert rows.filter("new <> old").count() == 0
+    assert "regexp" not in rows.select("new")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_are_computed_once(spark):
+    """The expressions name each line list, label, region and heading once; they once held them many times over."""
+    d = spark.createDataFrame([(1, "t")], "paper_id BIGINT, text STRING")
+    plan = lambda column: d.select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan(FM.infer_authors(F.col("text"), F.lit(0))).count("split(") < 20
+    assert plan(X.references_section(F.col("text"))).count("split(") == 1
+    assert plan(FM.title_quality(F.col("text"))).count("lower(") == 1
+    assert plan(X.chunk_type(F.col("text"))).count("split(") == 1
+
+
+def test_front_matter_of_one_reading(spark):
+    text = "Journal\nA study of deep graph models.\nAuthors: Ann Bell1; Tom Fox*\nAbstract\nbody"
+    d = spark.createDataFrame([(1, text), (2, None), (3, "see ann.lee@cs.school.edu")], "paper_id BIGINT, text STRING")
+    new = {r["paper_id"]: r for r in MD.front_candidates(d).collect()}
+    t = d.withColumn("_t", FM.infer_title(F.col("text"))).withColumn("_a", FM.infer_authors(F.col("text"), F.col("_t.line")))
+    for r in t.collect():
+        got = new[r["paper_id"]]
+        assert (got["title"], got["title_line"], got["authors"], got["authors_line"]) == (*r["_t"], *r["_a"])
+    assert new[1]["authors"] == "Ann Bell, Tom Fox" and new[2]["authors_line"] == 999 and new[3]["authors"] == "Ann Lee"
