@@ -73,26 +73,27 @@ def needs_external(query: Column) -> Column:
 def salvage_json(response: Column) -> Column:
     """JSON text between the first opening and the last closing bracket, code fence removed; NULL
     when there is none or it does not parse."""
-    text = X.strip(F.coalesce(response, F.lit("")))
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(text.rlike(r"(?s)```(?:json)?\s*.*?```"), X.strip(fenced)).otherwise(text)
-    cut = X.truthy(F.regexp_extract(body, r"(?s)[{\[].*[}\]]", 0))
-    return F.when(F.try_parse_json(cut).isNotNull(), cut)
+    fenced = lambda text: F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    body = lambda text: F.when(text.rlike(r"(?s)```(?:json)?\s*.*?```"), X.strip(fenced(text))).otherwise(text)
+    cut = lambda text: X.truthy(F.regexp_extract(body(text), r"(?s)[{\[].*[}\]]", 0))
+    found = X.let(X.strip(F.coalesce(response, F.lit(""))), cut)
+    return X.let(found, lambda json: F.when(F.try_parse_json(json).isNotNull(), json))
 
 
 def payload_items(json_text: Column, item: str) -> Column:
     """Items of a salvaged payload: the top array, ``items``, or the first array value of the object."""
     array = f"ARRAY<{item}>"
-    top = F.from_json(json_text, array)
-    named = F.from_json(F.get_json_object(json_text, "$.items"), array)
-    keys = F.json_object_keys(F.when(F.startswith(json_text, F.lit("{")), json_text))
-    values = F.from_json(json_text, "MAP<STRING,STRING>")
-    arrays = F.filter(F.transform(keys, lambda k: F.element_at(values, k)),
-                      lambda v: F.startswith(F.ltrim(v), F.lit("[")))
-    first = F.from_json(F.get(arrays, F.lit(0)), array)
-    items = F.when(F.startswith(json_text, F.lit("[")), top).when(
-        F.startswith(F.ltrim(F.get_json_object(json_text, "$.items")), F.lit("[")), named).otherwise(first)
-    return F.filter(F.coalesce(items, F.array().cast(array)), lambda x: x.isNotNull())
+
+    def first(json):
+        keys = F.json_object_keys(F.when(F.startswith(json, F.lit("{")), json))
+        values = F.from_json(json, "MAP<STRING,STRING>")
+        arrays = X.let(values, lambda v: F.filter(F.transform(keys, lambda k: F.element_at(v, k)), lambda x: F.startswith(F.ltrim(x), F.lit("["))))
+        return F.from_json(F.get(arrays, F.lit(0)), array)
+
+    def listed(json):
+        return F.when(F.startswith(json, F.lit("[")), F.from_json(json, array)).otherwise(X.let(
+            F.get_json_object(json, "$.items"), lambda named: F.when(F.startswith(F.ltrim(named), F.lit("[")), F.from_json(named, array)).otherwise(first(json))))
+    return F.filter(F.coalesce(X.let(json_text, listed), F.array().cast(array)), lambda x: x.isNotNull())
 
 
 def sub_questions(raw: Column) -> Column:

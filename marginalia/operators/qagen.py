@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from marginalia.functions import answers as A, text as X, vocabulary as V
 from marginalia.operators.blocks import block_of, row_numbers
 from marginalia.operators.quotes import quote_hits
+from marginalia.session import materialize
 
 MATERIAL_CHARS = 9000
 ITEM = ("STRUCT<question: STRING, ground_truth: STRING, question_type: STRING, evidence_quote: STRING,"
@@ -78,10 +79,12 @@ def quote_counts(items: DataFrame, chunks: DataFrame) -> DataFrame:
 def accepted_by_quote(items: DataFrame, chunks: DataFrame, paper_uids: DataFrame) -> DataFrame:
     """Candidates whose quote has 20..500 characters and occurs exactly once in the paper's chunks.
 
-    ``qa_id`` counts accepted items of the paper only.
+    ``qa_id`` counts accepted items of the paper only. The items are written once: the search reads them several times, and
+    each time the responses would be parsed anew.
     """
     good = _well_formed(items).withColumn("quote", X.strip(F.col("evidence_quote"))).filter(
         F.length("quote").between(20, 500))
+    good = materialize(good.select("paper_id", "pos", "question", "ground_truth", "question_type", "evidence_quote", "quote"), "items")
     unique = quote_counts(good, chunks).filter(F.col("n") == 1).select("paper_id", "pos")
     kept = good.join(unique, ["paper_id", "pos"], "left_semi").join(
         paper_uids.select("paper_id", "paper_uid"), "paper_id")

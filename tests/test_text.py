@@ -166,3 +166,22 @@ def test_front_matter_of_one_reading(spark):
         got = new[r["paper_id"]]
         assert (got["title"], got["title_line"], got["authors"], got["authors_line"]) == (*r["_t"], *r["_a"])
     assert new[1]["authors"] == "Ann Bell, Tom Fox" and new[2]["authors_line"] == 999 and new[3]["authors"] == "Ann Lee"
+
+
+def test_responses_are_parsed_once(spark, monkeypatch):
+    from marginalia.operators import qagen as Q
+    kept, plain = [], Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, label: kept.append(label) or plain(df, label))
+    response = 'Sure!\n```json\n{"items": [{"question": " q1 ", "ground_truth": "a", "question_type": "factoid", "evidence_quote": "a quote of more than twenty characters"}]}\n```'
+    items = Q.raw_items(spark.createDataFrame([(1, response), (2, "none")], "paper_id BIGINT, response STRING"))
+    chunks = spark.createDataFrame([(1, 0, "here is a quote of more than twenty characters once")], "paper_id BIGINT, chunk_index INT, content STRING")
+    out = Q.accepted_by_quote(items, chunks, spark.createDataFrame([(1, "u")], "paper_id BIGINT, paper_uid STRING"))
+    assert kept == ["items"] and "parse_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["paper_id"], r["qa_id"], r["question"]) for r in out.collect()] == [(1, "gen-p1-001", "q1")]
+
+
+def test_payloads_by_shape(spark):
+    item = "STRUCT<question: STRING>"
+    d = spark.createDataFrame([(1, '[{"question": "a"}, null]'), (2, '{"items": [{"question": "b"}]}'), (3, '{"n": 1, "list": [{"question": "c"}]}'), (4, '{"n": 1}'), (5, None)], "id INT, t STRING")
+    got = {r["id"]: [x["question"] for x in r["x"]] for r in d.select("id", A.payload_items(F.col("t"), item).alias("x")).collect()}
+    assert got == {1: ["a"], 2: ["b"], 3: ["c"], 4: [], 5: []}
