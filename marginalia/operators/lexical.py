@@ -188,12 +188,12 @@ def _score_batches(docs: DataFrame, terms: DataFrame, k: int, k1: float, b: floa
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, needed = shared.value
-        vocabulary = pa.array(matrix.terms, pa.string())
+        vocabulary, best = pa.array(matrix.terms, pa.string()), S.Best(len(matrix.query_ids), k)
         tables = (pa.Table.from_batches([x]) for x in batches) if neighbor_weight is None else S.whole_groups(
             batches, ["paper_id", "block"])
         for table in tables:
             if table.num_rows:
-                yield from S.score_batch(table, matrix, vocabulary, saturate, k, neighbor_weight, needed)
+                yield from S.score_batch(table, matrix, vocabulary, saturate, k, neighbor_weight, needed, best)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(shared.value[0].terms, pa.string())
@@ -272,20 +272,15 @@ def _count_batches(chunks: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
         matrix = shared.value
         automaton = ahocorasick.Automaton()
         for i, token in enumerate(matrix.terms):
-            automaton.add_word(token, (i, token))
+            automaton.add_word(token, i)
         automaton.make_automaton()
-        width = len(matrix.query_ids)
+        looped = np.array([S.overlaps_itself(token) for token in matrix.terms])
+        best = S.Best(len(matrix.query_ids), k)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            paper, index = np.asarray(batch["paper_id"]), np.asarray(batch["chunk_index"])
-            order = S.id_order(paper, index)
-            row, term, value = S.count_tokens_in_words(batch["tokens"], automaton, len(matrix.terms))
-            for start, stop in S.slices(row, matrix.starts[term + 1] - matrix.starts[term], len(paper)):
-                part = slice(np.searchsorted(row, start), np.searchsorted(row, stop))
-                keys, scores, _ = S.pair_scores(row[part], term[part], value[part], matrix)
-                if len(keys):
-                    yield S.emit(matrix, *S.best_rows(keys, scores, order, width, k), paper, index)
+            if batch.num_rows:
+                paper, index = np.asarray(batch["paper_id"]), np.asarray(batch["chunk_index"])
+                row, term, value = S.count_tokens_in_words(batch["tokens"], automaton, matrix.terms, looped)
+                yield from S.best_of_batch(row, term, value, paper, index, matrix, k, best)
 
     words = X.white_tokens(F.lower(F.coalesce("content", F.lit(""))))
     return chunks.select("paper_id", "chunk_index", words.alias("tokens")).mapInArrow(score, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from marginalia.functions import vocabulary as V
 from marginalia.operators import fusion, lexical, vector
 from marginalia.schemas import HIT_COLUMNS, chunk_id
-from marginalia.session import materialize
+from marginalia.session import materialize, of_few
 
 # Lexical profile name -> arguments of the BM25 search; "count" is the occurrence score.
 LEXICAL_PROFILES = {
@@ -27,9 +27,13 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, profile: str = "count"
 def as_hits(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Attach the hit columns to ``(query_id, rank, chunk_id, score, source)`` rows.
 
-    The ranked rows are written first: Spark then knows how few they are and sends them to the texts, not the texts around.
+    The ranked rows are written first: Spark then knows how few they are and sends them to the texts, not the texts around. Only
+    chunks of their papers are typed; rows ranked without ``paper_id`` meet all chunks.
     """
-    ranked = materialize(ranked.select("query_id", "rank", "chunk_id", "score", "source"), "winners")
+    held = ["query_id", "rank", "chunk_id", "score", "source"]
+    ranked = materialize(ranked.select(*held, *[c for c in ["paper_id"] if c in ranked.columns]), "winners")
+    if "paper_id" in ranked.columns:
+        chunks, ranked = of_few(chunks, "paper_id", ranked.select("paper_id")), ranked.select(*held)
     payload = {"title": "string", "authors": "string", "year": "int", "page_number": "int", "chunk_type": "string"}
     table = chunks.select(chunk_id().alias("chunk_id"), "paper_id", "content",
                           *[F.col(c) if c in chunks.columns else F.lit(None).cast(t).alias(c)

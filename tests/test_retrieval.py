@@ -186,3 +186,81 @@ def test_embedder_and_profiles(spark):
         return [[1.0]] * (len(texts) + 1)
     with pytest.raises(Exception, match="different number"):
         VX.with_embeddings(chunks, "content", VX.embedder(lambda: wrong)).collect()
+
+
+@pytest.mark.parametrize("neighbour", [None, 0.5])
+def test_a_task_sends_only_rows_that_can_still_win(neighbour):
+    import pyarrow as pa
+    from marginalia.functions import scoring as S
+
+    rng, words = np.random.default_rng(4), [f"w{i}" for i in range(60)]
+    matrix = S.query_matrix([(q, words[t], 1 + t / 7) for q in range(9) for t in rng.choice(60, 12, replace=False)])
+    saturate = lambda count, length: count * 2.2 / (count + 1.2 * (0.1 + 0.9 * length / 8))
+    k, sent, best, want = 4, 0, S.Best(9, 4), {q: [] for q in range(9)}
+    got = {q: [] for q in range(9)}
+    for paper in range(40):
+        texts = [list(rng.choice(words, rng.integers(0, 16))) for _ in range(200)]
+        texts[7], texts[150] = texts[3], texts[3]  # equal rows tie
+        table = pa.table({"paper_id": pa.array([paper] * 200), "chunk_index": pa.array(range(200), pa.int32()), "doc_len": pa.array([len(t) for t in texts], pa.int32()),
+                          "tokens": pa.array(texts, pa.list_(pa.string())), "block": pa.array([0] * 200), "home": pa.array([True] * 200)})
+        for hits in S.score_batch(table, matrix, pa.array(matrix.terms), saturate, k, neighbour, best=best):
+            sent += hits.num_rows
+            for q, p, i, s in zip(*(hits.column(c).to_pylist() for c in ("query_id", "paper_id", "chunk_index", "score"))):
+                got[q].append((-round(s, 9), f"p{p}_c{i}"))
+        weight = np.zeros((60, 9))
+        for t, term in enumerate(matrix.terms):
+            held = slice(matrix.starts[t], matrix.starts[t + 1])
+            weight[words.index(term), matrix.query[held]] = matrix.weight[held]
+        value = np.array([[saturate(t.count(w), len(t)) if w in t else 0.0 for w in words] for t in texts])
+        score = value @ weight
+        if neighbour:
+            beside = np.zeros_like(score)
+            beside[1:] += score[:-1]
+            beside[:-1] += score[1:]
+            score = np.where(score > 0, score + neighbour * beside, 0)
+        for i, q in np.argwhere(score > 0):
+            want[q].append((-round(score[i, q], 9), f"p{paper}_c{i}"))
+    for q in range(9):
+        best_of = lambda rows: [(name, pytest.approx(s)) for s, name in sorted(rows)[:k]]
+        assert [(name, s) for s, name in sorted(got[q])[:k]] == best_of(want[q])
+    assert sent < 40 * 9 * k / 3  # every batch sent k rows a query
+
+
+def test_tokens_that_overlap_themselves_count_apart():
+    import ahocorasick
+    import pyarrow as pa
+    from marginalia.functions import scoring as S
+
+    texts = ["a", "aa", "aba", "xyz", "é\U0001f600é", "abab"]
+    automaton = ahocorasick.Automaton()
+    for i, text in enumerate(texts):
+        automaton.add_word(text, i)
+    automaton.make_automaton()
+    rows = [["aaaa", "ababa", "aaaa"], [], ["é\U0001f600é\U0001f600é", "xyzxyz"], ["abababab", "\U0001f600a"]]
+    looped = np.array([S.overlaps_itself(t) for t in texts])
+    assert looped.tolist() == [False, True, True, False, True, True]
+    for size in (200_000, 2):
+        S.WORDS, whole = size, S.WORDS
+        try:
+            row, token, n = S.count_tokens_in_words(pa.array(rows, pa.list_(pa.string())), automaton, texts, looped)
+        finally:
+            S.WORDS = whole
+        got = Counter()
+        for r, t, c in zip(row.tolist(), token.tolist(), n.tolist()):
+            got[r, texts[t]] += c
+        assert got == Counter({(i, t): float(sum(w.count(t) for w in ws)) for i, ws in enumerate(rows) for t in texts if any(t in w for w in ws)})
+
+
+def test_hits_type_only_chunks_of_ranked_papers(spark):
+    from marginalia.session import of_few
+
+    chunks = spark.range(40).selectExpr("id AS paper_id", "'abstract\nb\nc' AS text").repartition(3).selectExpr(
+        "paper_id", "posexplode(split(text, '\n')) AS (chunk_index, content)").withColumn(
+        "chunk_type", F.expr("CASE WHEN paper_id IN (5, 9) THEN 'paragraph' ELSE raise_error('typed') END"))
+    ranked = spark.createDataFrame([(1, 1, "p5_c1", 5, 1, 2.0, "s"), (1, 2, "p9_c0", 9, 0, 1.0, "s"), (1, 3, None, None, 0, 1.0, "s")],
+                                   "query_id BIGINT, rank INT, chunk_id STRING, paper_id BIGINT, chunk_index INT, score DOUBLE, source STRING")
+    got = R.as_hits(ranked, chunks).orderBy("rank").collect()  # all chunks were typed, so this raised
+    assert [(r.chunk_id, r.paper_id, r.content, r.chunk_type) for r in got] == [("p5_c1", 5, "b", "paragraph"), ("p9_c0", 9, "abstract", "paragraph")]
+    ids = spark.createDataFrame([(3,), (4,), (3,), (None,)], "x BIGINT")
+    for limit in (1, 2):
+        assert sorted(r.id for r in of_few(spark.range(9), "id", ids, limit).collect()) == [3, 4]
