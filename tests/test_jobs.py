@@ -279,3 +279,43 @@ def test_short_term_memories_follow_the_digests(spark, tmp_path):
     push(make(1, 0, 5) + make(2, 0, 4))
     push(make(1, 5, 6) + make(2, 4, 2) + make(3, 0, 7))
     push(make(1, 11, 9) + make(4, 0, 3))
+
+
+def test_a_part_of_many_files_is_one_batch(spark, tmp_path):
+    import glob
+    from marginalia.plans import job_queries as J
+
+    lines = "one line\nanother line\n \nthe last of them\nand a fifth"
+    spark.createDataFrame([(i, lines if i % 9 else " ", "en", "s", 1) for i in range(40)], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").repartition(
+        4).write.parquet(f"{tmp_path}/documents.parquet")
+    made, folder = [], J._folder
+    J._folder = lambda s, name: made.append(folder(s, name)) or made[-1]
+    try:
+        root = J._ingested(spark, str(tmp_path))
+    finally:
+        J._folder = folder
+    source = next(p for p in made if "-source" in p).removeprefix("file:")
+    assert len(glob.glob(f"{source}/*.parquet")) > 4  # each part was the work of one task
+    state = {r.paper_id: (r.processed, r.batch) for r in IS.current_table(spark, root, "status").collect()}
+    # The last new page of a paper comes with its part; the repeated part changes nothing.
+    assert state == {i: ("done", 2) if i % 9 else ("error", 1) for i in range(40)}
+    assert IS.current_table(spark, root, "pages").count() == 40 // 9 + 1 + 5 * (40 - 40 // 9 - 1)
+
+
+@pytest.mark.parametrize("groups", [2, 1000])
+def test_state_of_pages_in_groups(spark, tmp_path, groups):
+    src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    schema = "paper_id BIGINT, page_number INT, text STRING"
+
+    def push(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        found = []
+        keep = lambda df, n: found.extend((r.paper_id, r.page_number, r.text, r.error) for r in df.collect())
+        IS.changed_pages(spark.readStream.schema(schema).parquet(src), groups).writeStream.foreachBatch(keep).option("checkpointLocation", mark).trigger(
+            availableNow=True).start().awaitTermination()
+        return sorted(found, key=lambda r: r[:2])
+
+    assert push([(1, p, f"t{p}") for p in range(-1, 600)] + [(2, 3, None)]) == [(1, p, f"t{p}", None) for p in range(-1, 600)] + [(2, 3, None, None)]
+    assert push([(1, p, "new" if p in (0, 255, 599) else f"t{p}") for p in range(601) if p < 600 or p == 600] + [(2, 3, None)]) == [
+        (1, 0, "new", None), (1, 255, "new", None), (1, 599, "new", None), (1, 600, "t600", None)]
+    assert push([(1, 0, "t0"), (1, 255, "new"), (2, 3, "")]) == [(1, 0, "t0", None), (2, 3, "", None)]
