@@ -3,7 +3,8 @@
 A mask such as ``1110111`` hashes the tokens under its ones and ignores those under its zeros, so a substituted token under a
 zero does not hide a match. The hashes of every position of the test items are joined with those of every position
 of the documents. A hit fixes a diagonal (document position minus item position); the token pairs along it
-around the hit are compared one by one, and a window with enough equal pairs is an overlap.
+around the hit are compared one by one, and a window with enough equal pairs is an overlap. A hit carries the tokens that such
+windows can hold, never the document.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marginalia.session import materialize
+from marginalia.session import materialize, release
 
 WINDOW = 13
 SIMILARITY = 0.8
@@ -71,7 +72,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_rows: int = BLOCK_ROWS
     ``width`` is WINDOW tokens, or the whole item if it is shorter; ``matched`` of them are equal, at least
     SIMILARITY of the width. Every such overlap is found. Starts count tokens from 0; ties go to the earliest place in the document.
     The test side is small by nature but its size is counted: it is dealt into blocks of at most about ``block_rows``
-    seeds and tokens by item, each broadcast on its own, so common passages neither shuffle nor gather documents. Null and
+    seeds and tokens by item, each broadcast on its own and, if there are several, written before the next begins, so common
+    passages neither shuffle nor gather documents. Null and
     blank texts, and items without a token, have no overlaps; an item of one to four tokens overlaps every text that holds it; items equal in id are one item's variants. Further
     columns are not read.
     """
@@ -90,24 +92,43 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_rows: int = BLOCK_ROWS
     parts = []
     for block in range(blocks):
         mine = (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else F.lit(True)
-        hits = keyed.join(F.broadcast(all_seeds.filter(mine)), "key").join(F.broadcast(items.filter(mine)), "item_id")
-        parts.append(_verified(hits))
-    best = (reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id")
-            .agg(F.max(F.struct("matched", (-F.col("doc_start")).alias("early"), (-F.col("item_start")).alias("item_early"), "width")).alias("best")))
+        best = _best(_verified(_hits(keyed, all_seeds.filter(mine)).join(F.broadcast(items.filter(mine)), "item_id")))
+        if blocks > 1:  # one block's broadcasts at a time
+            best = materialize(best, "overlaps")
+            release(docs.sparkSession)
+        parts.append(best)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _hits(keyed: DataFrame, some_seeds: DataFrame) -> DataFrame:
+    """A row per equal seed with ``near``, the document's tokens from position ``near_at`` on that windows around it can hold.
+
+    All rows of a document leave the join together, so none may hold the whole document.
+    """
+    from_ = F.greatest(F.lit(0), F.col("doc_at") + F.col("span") - WINDOW)
+    found = keyed.join(F.broadcast(some_seeds), "key").withColumn("near_at", from_)
+    return found.select("doc_id", "item_id", "doc_at", "item_at", "span", "near_at",
+                        F.slice("doc_tokens", F.col("near_at") + 1, F.lit(2 * WINDOW) - F.col("span")).alias("near"))
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    """The best window of each document and item."""
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(
+        "matched", (-F.col("doc_start")).alias("early"), (-F.col("item_start")).alias("item_early"), "width")).alias("best"))
     return best.select("doc_id", "item_id", "best.matched", "best.width", (-F.col("best.early")).alias("doc_start"),
                        (-F.col("best.item_early")).alias("item_start"))
 
 
 def _verified(hits: DataFrame) -> DataFrame:
     """The best window along the diagonal of each hit among those that hold the hit."""
-    placed = hits.select("doc_id", "item_id", "doc_tokens", "item_tokens", "item_at", "span", (F.col("doc_at") - F.col("item_at")).alias("diagonal"),
-                         _width().alias("width"))
+    placed = hits.select("doc_id", "item_id", "near", "near_at", "item_tokens", "item_at", "span",
+                         (F.col("doc_at") - F.col("item_at")).alias("diagonal"), _width().alias("width"))
     first = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - F.col("width"))
     last = F.least(F.col("item_at"), F.size("item_tokens") - F.col("width"))
     ranged = placed.withColumn("first", F.least(first, last)).withColumn("last", F.greatest(first, last))
     # 1 for each equal pair from the first window's start to the last one's end.
     equal = F.transform(F.sequence("first", F.col("last") + F.col("width") - 1), lambda i: F.when(
-        F.get("doc_tokens", F.col("diagonal") + i) == F.get("item_tokens", i), 1).otherwise(0))
+        F.get("near", F.col("diagonal") + i - F.col("near_at")) == F.get("item_tokens", i), 1).otherwise(0))
     flagged = ranged.select("doc_id", "item_id", "diagonal", "width", "first", "last", equal.alias("equal"))
     sums = F.transform(F.sequence("first", "last"), lambda s: F.struct(
         F.aggregate(F.slice("equal", s - F.col("first") + 1, F.col("width")), F.lit(0), lambda a, x: a + x).alias("matched"), (-s).alias("start")))

@@ -108,3 +108,20 @@ def test_every_admissible_substitution_is_found(spark, documents):
             docs.append((1000 * width + 900, " ".join("x" if i <= few else w for i, w in enumerate(words))))
     got = decontaminate.overlaps(documents(docs), spark.createDataFrame(items, "item_id bigint, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
+def test_a_hit_holds_no_more_of_a_long_text_than_its_windows(spark, documents):
+    passage = " ".join(f"p{i}" for i in range(40))
+    filler = " ".join(f"f{i}" for i in range(3000))
+    docs = documents([(1, f"{passage} {filler} {passage}"), (2, passage), (3, " ".join(passage.split()[:13]))])
+    items = spark.createDataFrame([(i, passage) for i in range(8)], "item_id bigint, text string")
+    keyed = docs.select("doc_id", decontaminate.tokens(F.col("text")).alias("doc_tokens"))
+    keyed = keyed.select("*", F.explode(F.sequence(F.lit(0), F.size("doc_tokens") - 7)).alias("doc_at"))
+    number = decontaminate.MASKS.index("1110111")
+    keyed = keyed.withColumn("key", decontaminate._seed("doc_tokens", F.col("doc_at"), number, "1110111"))
+    found = decontaminate._hits(keyed, decontaminate.seeds(items.select("item_id", decontaminate.tokens(F.col("text")).alias("item_tokens"))))
+    rows = found.select("doc_id", F.size("near").alias("n")).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3} and max(r.n for r in rows) < 2 * decontaminate.WINDOW
+    assert not set(found.columns) & {"doc_tokens", "text"}
+    got = {(r.doc_id, r.item_id): (r.matched, r.doc_start, r.item_start) for r in decontaminate.overlaps(docs, items).collect()}
+    assert got == {(d, i): (13, 0, 0) for d in (1, 2, 3) for i in range(8)}
