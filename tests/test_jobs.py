@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.schemas import PAPERS, conform
 from marginalia.sources import documents as D, evaluation as EV, sinks as S
 from marginalia.functions import vectors as VX
+from marginalia.session import checkpoint_root
 from marginalia.streaming import conversation_stream as CS, ingest_stream as IS
 
 
@@ -319,3 +320,22 @@ def test_state_of_pages_in_groups(spark, tmp_path, groups):
     assert push([(1, p, "new" if p in (0, 255, 599) else f"t{p}") for p in range(601) if p < 600 or p == 600] + [(2, 3, None)]) == [
         (1, 0, "new", None), (1, 255, "new", None), (1, 599, "new", None), (1, 600, "t600", None)]
     assert push([(1, 0, "t0"), (1, 255, "new"), (2, 3, "")]) == [(1, 0, "t0", None), (2, 3, "", None)]
+
+
+def test_a_batch_leaves_nothing_but_its_tables(spark, tmp_path, monkeypatch):
+    root, place = tmp_path / "out", os.path.join(checkpoint_root(spark).removeprefix("file://"), "marginalia")
+    papers = spark.createDataFrame([(1, "A long enough title", None), (2, "Another title of it", None)], "id BIGINT, title STRING, abstract STRING")
+    text = 'Body.\nReferences\n[1] Anon. "Another title of it", 2020.'
+    rows = spark.createDataFrame([(1, 1, text, None), (2, 1, "fine", None)], "paper_id BIGINT, page_number INT, text STRING, error STRING")
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    embed, worked, one = VX.embedder(VX.hashing_embedder(8))(F.col("content")), [], IS._process_buckets
+    monkeypatch.setattr(IS, "_process_buckets", lambda *args: (worked.append(args[3]), one(*args)))
+    for batch, size in enumerate((1 << 30, 20)):  # all at once, then a bucket at a time
+        IS.process_batch(papers, rows, batch, str(root), embed=embed, buckets=4, slice_bytes=size)
+        assert {(r.paper_id, r.batch) for r in IS.current_table(spark, str(root), "status").collect()} == {(1, batch), (2, batch)}
+        assert IS.current_table(spark, str(root), "chunks").count() == IS.current_table(spark, str(root), "vectors").count() == 4
+    together, *single = worked
+    assert len(together) == 2 and single == [[n] for n in together]
+    assert [tuple(r) for r in IS.current_table(spark, str(root), "edges").collect()] == [(1, 2)]
+    assert sorted(os.listdir(root)) == ["chunks", "edges", "pages", "status", "vectors"]
+    assert set(os.listdir(place)) <= before
